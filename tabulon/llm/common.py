@@ -94,3 +94,19 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
             break
         before = mark
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def split_words(column: pa.Array):
+    """Words of a batch of texts: codes into ``dictionary``, the distinct words, and where each text begins (one more at the end)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+    flat, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
+    offsets = offsets - offsets[0]
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    if not full.all():
+        offsets = np.r_[0, np.cumsum(full)][offsets]
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return np.asarray(coded.indices, dtype=np.int64), coded.dictionary, offsets

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import packing, simhash
+from tabulon.llm import packing, simhash, substring
 
 BPE = "byte_bpe_50k.json"
 
@@ -31,8 +31,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash}
+    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
