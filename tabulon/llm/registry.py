@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import packing, simhash, substring
+from tabulon.llm import media, packing, quality, simhash, substring
 
 BPE = "byte_bpe_50k.json"
 
@@ -31,12 +31,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(_table(spark, sf_dir, "documents"))
+    pairs = F.transform(F.arrays_zip("times", "codes"), lambda p: F.concat_ws(":", F.hex(p["times"]), F.hex(p["codes"])))
+    return found.withColumn("feature", F.array_join(pairs, " ")).drop("times", "codes")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op10_substring": op10_substring}
+    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op5_quality": op5_quality, "op7_media": op7_media, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
