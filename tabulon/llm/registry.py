@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import media, packing, quality, simhash, substring
+from tabulon.llm import media, mixing, packing, quality, sharding, simhash, substring
+from tabulon.llm.common import utf8_size
 
 BPE = "byte_bpe_50k.json"
 
@@ -31,6 +32,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select("doc_id", (utf8_size(F.col("text")) + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,8 +58,29 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op5_quality": op5_quality, "op7_media": op7_media, "op10_substring": op10_substring}
+    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_media": op7_media, "op10_substring": op10_substring}
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, cap / weight AS ratio,
+    ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio),
+t AS (SELECT l.source, l.source_size, coalesce(least(l.cap, l.weight * f.level), l.cap) AS target FROM l, f),
+r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(rate)::BIGINT AS whole, target - floor(rate) * source_size AS wanted,
+    CASE WHEN rate > floor(rate) THEN (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) END AS rank FROM r),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rank IS NOT NULL AND upto - size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix": OP6_SQL}

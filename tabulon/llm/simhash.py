@@ -178,13 +178,15 @@ def _signed(mask: int) -> int:
 def near_pairs(distinct: DataFrame, radius: int, node: int = NODE) -> DataFrame:
     """``distinct(fp long)``, all different, to star edges ``(a, b)`` that join just what links within ``radius`` join."""
     spark, edges, masks = distinct.sparkSession, None, [0]
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
+    rows = distinct.select("fp")
     while True:
         children = [(m, m | b) for m in masks for b in _blocks(m, radius + 1)]
         masks = sorted({c for _, c in children})
-        # one row for each mask of this depth: a table bounded by the radius and the 64 bits, whatever the input
-        tree = spark.createDataFrame([(_signed(m), _signed(c)) for m, c in children], "mask long, child long")
-        rows = rows.join(F.broadcast(tree), "mask").select("fp", F.col("child").alias("mask"))
+        if edges is None:
+            rows = rows.select("fp", F.explode(F.array(*(F.lit(_signed(c)).cast("long") for c in masks))).alias("mask"))
+        else:  # one row for each mask of this depth: a table bounded by the radius and the 64 bits, whatever the input
+            tree = spark.createDataFrame([(_signed(m), _signed(c)) for m, c in children], "mask long, child long")
+            rows = rows.join(F.broadcast(tree), "mask").select("fp", F.col("child").alias("mask"))
         rows = rows.withColumn("key", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
         if min(64 - m.bit_count() for m in masks) <= node.bit_length() - 1:  # 2 ** free bits members at most
             last, large = rows, None
