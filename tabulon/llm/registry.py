@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import media, mixing, packing, quality, sharding, simhash, substring
+from tabulon.llm import linededup, media, mixing, packing, quality, sharding, simhash, substring, urlfilter
 from tabulon.llm.common import utf8_size
 
 BPE = "byte_bpe_50k.json"
@@ -53,12 +53,22 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", F.array_join(pairs, " ")).drop("times", "codes")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_media": op7_media, "op10_substring": op10_substring}
+    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_media": op7_media, "op8_lines": op8_lines, "op9_urls": op9_urls, "op10_substring": op10_substring}
 
 
 OP6_SQL = r"""
@@ -82,5 +92,33 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rank IS NOT NULL A
 """
 
 
+OP8_SQL = r"""
+WITH l0 AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+l1 AS (SELECT doc_id, line, ('0x' || substr(md5(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 1, 15))::BIGINT AS h,
+    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM l0),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos FROM l1 WHERE words > 0),
+g AS (SELECT doc_id, pos, h, lead(h) OVER (PARTITION BY doc_id ORDER BY pos) AS h2 FROM l),
+v AS (SELECT *, xor(h >> 1, h2) AS v, count(*) OVER (PARTITION BY doc_id) AS m FROM g WHERE h2 IS NOT NULL),
+win AS (SELECT a.doc_id, a.pos AS start, arg_min(b.pos, (b.v::HUGEINT * 1000000 + b.pos)) AS pos
+  FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 2
+  WHERE a.pos <= greatest(a.m - 3, 0) GROUP BY a.doc_id, a.pos),
+f AS (SELECT DISTINCT v.doc_id, v.pos, v.h AS k1, v.h2 AS k2 FROM win JOIN v USING (doc_id, pos)
+  UNION ALL SELECT doc_id, pos, h, -1 FROM l WHERE words >= 25),
+first AS (SELECT k1, k2, min((doc_id, pos)) AS at FROM f GROUP BY k1, k2),
+hit AS (SELECT DISTINCT f.doc_id AS d, f.pos AS p, first.at[1] AS d0, f.pos - first.at[2] AS shift FROM f JOIN first USING (k1, k2) WHERE (f.doc_id, f.pos) > first.at),
+diagonal AS (SELECT DISTINCT d, d0, shift FROM hit),
+equal AS (SELECT d, d0, shift, a.pos, a.line, a.pos - row_number() OVER (PARTITION BY d, d0, shift ORDER BY a.pos) AS island
+  FROM diagonal JOIN l a ON a.doc_id = d JOIN l b ON b.doc_id = d0 AND b.pos = a.pos - shift AND a.h = b.h),
+runs AS (SELECT DISTINCT d, d0, shift, island FROM equal JOIN hit USING (d, d0, shift) WHERE hit.p = equal.pos),
+gone AS (SELECT DISTINCT d AS doc_id, line FROM equal JOIN runs USING (d, d0, shift, island)),
+kept AS (SELECT l0.doc_id, count(*) AS n_lines, count(gone.line) AS n_removed,
+    coalesce(string_agg(x, chr(10) ORDER BY l0.line) FILTER (WHERE gone.line IS NULL), '') AS text
+  FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.line = l0.line GROUP BY l0.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE sha256(kept.text) END AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": OP6_SQL}
+    return {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL}
