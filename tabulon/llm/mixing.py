@@ -58,12 +58,12 @@ def uniform(seed: str, doc_id: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, odds: Column | None = None) -> DataFrame:
-    """``docs(doc_id, text, source)`` to ``(doc_id, source, size, source_size, target, copies, taken)``.
+    """``docs(doc_id, text, source)`` to ``(doc_id, tie, source, size, source_size, target, copies, taken)``; tie is a hash of id, text and source.
 
     ``odds``: a positive column of ``docs`` that multiplies a document's inclusion odds within its source.
     """
     text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    slim = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(seed, doc, text).alias("u"), (F.lit(1.0) if odds is None else odds.cast("double")).alias("odds"))
+    slim = docs.select(doc.alias("doc_id"), F.xxhash64(doc, doc.isNull(), text, "source").alias("tie"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(seed, doc, text).alias("u"), (F.lit(1.0) if odds is None else odds.cast("double")).alias("odds"))
     slim = persist(slim, "sizes")
     goals = persist(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("n", F.monotonically_increasing_id()), "targets")
     small = goals.count() <= BROADCAST_SOURCES
@@ -110,4 +110,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .otherwise(F.coalesce(within, F.lit(False)).cast("int"))
     )
     copies = (F.col("whole") + extra).cast("int")
-    return out.select("doc_id", slim.source, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "tie", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def with_copies(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, and ``_copies``, how often the mix takes the row; rows that it doesn't take are left out.
+
+    Rows equal in id, text and source tie, so those that the mix takes as often are as good as any other of them.
+    """
+    found = mix(docs, **options).groupBy("tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"))
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.withColumn("_tie", F.xxhash64(doc, doc.isNull(), text, F.col("source").cast("string")))
+    place = F.row_number().over(Window.partitionBy("_tie").orderBy("_tie")) - 1
+    rows = keyed.join(found.select(F.col("tie").alias("_tie"), "each"), "_tie").withColumn("_copies", F.get("each", place))
+    return rows.where("_copies > 0").select(*docs.columns, "_copies")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import linededup, media, mixing, packing, quality, sharding, simhash, substring, urlfilter
+from tabulon.llm import linededup, media, mixing, packing, quality, sharding, simhash, substring, toxicity, urlfilter
 from tabulon.llm.common import utf8_size
 
 BPE = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def tokenizer_file() -> tuple[str, str]:
     return public_tokenizers.path(BPE.replace(".json", ".tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -68,7 +72,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pack": op2_pack, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_media": op7_media, "op8_lines": op8_lines, "op9_urls": op9_urls, "op10_substring": op10_substring}
+    return {"op1_toxicity": op1_toxicity, "op2_pack": op2_pack, "op3_simhash": op3_simhash, "op4_shard": op4_shard, "op5_quality": op5_quality, "op6_mix": op6_mix, "op7_media": op7_media, "op8_lines": op8_lines, "op9_urls": op9_urls, "op10_substring": op10_substring}
 
 
 OP6_SQL = r"""

@@ -208,3 +208,127 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     members = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(members.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+# -- near duplicates by similarity ------------------------------------------------------------------------------------
+
+#: Members from which a bucket is parted among tasks.
+BUCKET = 4096
+#: Bits of the wider fingerprint.
+WIDE = 128
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; none without words."""
+    words = text.lower().split()
+    parts = {b" ".join(words)} if 0 < len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two words of majority bits, the second from the remixed hashes."""
+    out = []
+    for word in (hashes, (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(word), SLICE):
+            ones += np.unpackbits(word[i : i + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(word), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
+def tables(n: int, similarity: float, recall: float) -> tuple[list[tuple[int, int]], int]:
+    """Masks over both words, and the radius: as many tables of about log2(n) bits as the recall at that similarity takes."""
+    same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi  # bits that such texts share
+    bits = max(8, int(np.ceil(np.log2(max(n, 2)))))
+    count = int(np.ceil(np.log(1 - recall) / np.log1p(-(same**bits))))
+    rng, masks = np.random.default_rng(SEED), []
+    for _ in range(count):
+        chosen = rng.choice(WIDE, bits, replace=False).tolist()
+        masks.append(tuple(_signed(sum(1 << b - 64 * w for b in chosen if b // 64 == w)) for w in (0, 1)))
+    return masks, int(WIDE * (1 - same) + 2.5 * np.sqrt(WIDE * same * (1 - same)))
+
+
+_PAIRS = "key long, a long, b long, f1 long, f2 long"
+
+
+def _leaders(radius: int):
+    """Rows sorted by key and part: a member joins every leader within the radius, or becomes one.
+
+    Leaders of parts stay open (b is null) and go on to be compared with those of the bucket's other parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lead, n = None, np.empty((2, 64), np.uint64), 0
+        ids: list[int] = []
+        for batch in batches:
+            out: list[tuple] = []
+            f = np.stack([np.asarray(batch.column(c), dtype=np.int64).view(np.uint64) for c in ("f1", "f2")])
+            for i, (key, part, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "a")), strict=True)):
+                if (key, part) != now:
+                    now, n, ids = (key, part), 0, []
+                if n:
+                    near = np.nonzero(np.bitwise_count(lead[:, :n] ^ f[:, i : i + 1]).sum(0) <= radius)[0]
+                    if len(near):
+                        out += [(key, a, ids[j], None, None) for j in near.tolist()]
+                        continue
+                if n == lead.shape[1]:
+                    lead = np.concatenate([lead, np.empty_like(lead)], axis=1)
+                lead[:, n] = f[:, i]
+                n += 1
+                ids.append(a)
+                if part > 0:
+                    out.append((key, a, None, *f[:, i].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 5)], names=["key", "a", "b", "f1", "f2"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with ``_tie``, a key of id and text, and ``_group``, the least key of the texts it is linked with.
+
+    Candidates agree on the bits of one of several masks, the upper nodes, and lie within the radius there; a link is
+    a candidate pair whose sets of shingles have the similarity (intersection over union). Equal fingerprints link.
+    """
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("_tie", F.xxhash64(doc, doc.isNull(), text))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(shingle_hashes(x, shingle)) for x in binaries(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[w] for x in fps], pa.int64()) for w in (0, 1))], names=["tie", "f1", "f2"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x, shingle).view(np.int64) for x in binaries(batch.column(1))], pa.list_(pa.int64()))], names=["tie", "set"])
+
+    texts = keyed.select(F.col("_tie").alias("tie"), text.alias("text"))
+    found = persist(texts.mapInArrow(prints, "tie long, f1 long, f2 long"), "wide")
+    distinct = persist(found.groupBy("f1", "f2").agg(F.min("tie").alias("a")), "distinct")
+    masks, radius = tables(distinct.count(), similarity, recall)
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("f1").bitwiseAND(F.lit(m1)), F.col("f2").bitwiseAND(F.lit(m2))) for i, (m1, m2) in enumerate(masks)))
+    rows = distinct.select("a", "f1", "f2", F.explode(keys).alias("key"))
+    count = rows.groupBy("key").count().where(F.col("count") > 1)
+    parts = F.ceil(F.col("count") / bucket).cast("int")
+    rows = rows.join(count.select("key", parts.alias("parts")), "key")
+    rows = rows.withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(0).cast("int"))
+    chosen = ["key", "part", "a", "f1", "f2"]
+    first = persist(rows.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS), "leaders")
+    left = first.where("b is null").select("key", F.lit(0).alias("part"), "a", "f1", "f2")
+    again = left.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS)
+    pairs = persist(first.where("b is not null").select("a", "b").unionAll(again.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("tie")).unionAll(pairs.select(F.col("b").alias("tie"))).distinct()
+    known = persist(texts.join(wanted, "tie").dropDuplicates(["tie"]).mapInArrow(sets, "tie long, set array<long>"), "sets")
+    both = pairs.join(known.select(F.col("tie").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("tie").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    equal = found.join(distinct, ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
+    roots = connected(links.unionAll(equal), "similar")
+    return keyed.join(roots.select(F.col("node").alias("_tie"), F.col("root").alias("_group")), "_tie", "left").withColumn("_group", F.coalesce("_group", "_tie"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near duplicates: that of the least doc_id (null last), then of the least key; rows that repeat wholly count as one."""
+    grouped = similar_documents(docs, **options).withColumn("_row", F.monotonically_increasing_id())
+    grouped = persist(grouped, "grouped")
+    best = grouped.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_tie", "_row")).alias("best"))
+    return grouped.join(best.select("_group", F.col("best._row").alias("_row")), ["_group", "_row"], "left_semi").select(*docs.columns)
