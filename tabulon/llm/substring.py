@@ -9,7 +9,9 @@ window continues at the next place of the same earlier document. Factors of ``WI
 spans. Every window is looked up by itself, so those across the boundary of two factors are checked too, and the
 spans cover just the words of windows that also start earlier.
 
-Anchors with over ``HOT`` occurrences don't meet in one task: their windows are grouped with partial sums and joined.
+Anchors with over ``HOT`` occurrences don't meet in one task: documents are salted so that about ``HOT`` meet, each
+such group parses by itself, and only the first place of each window in a group goes on to a second parse by window.
+A factor then may point at an earlier place other than the earliest.
 
 Order: smaller doc_id first, null before all, ties by a hash of the text, then by place in the text. Rows equal in
 doc_id and text are one document listed twice and get the same result. A null or empty text has no words; texts under
@@ -31,8 +33,8 @@ from tabulon.llm.common import binaries, persist, split_words
 
 WINDOW = 20
 GRAM = 8
-#: Occurrences from which an anchor's windows are grouped by Spark.
-HOT = 20_000
+#: Occurrences of an anchor that meet in one task, about.
+HOT = 2_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -125,34 +127,48 @@ def _anchors(window: int, gram: int):
 
 
 def _blocks(window: int, gram: int):
-    """doc, tie, text, repeated anchors to the runs of those anchors."""
+    """doc, tie, text, repeated anchors with their numbers of salts to the runs of those anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = Runs(batch.column(2), window, gram)
-            wanted = np.unique(np.asarray(batch.column(3).flatten(), dtype=np.int64)).view(np.uint64)
-            keep = np.nonzero(np.isin(runs.anchor, wanted))[0]
-            size = runs.size[keep]
+            wanted = batch.column(3).flatten()
+            anchors, at = np.unique(np.asarray(wanted.field(0), dtype=np.int64).view(np.uint64), return_index=True)
+            salts = np.asarray(wanted.field(1), dtype=np.int64)[at]
+            keep = np.nonzero(np.isin(runs.anchor, anchors))[0]
+            size, anchor = runs.size[keep], runs.anchor[keep]
             cuts = np.r_[0, np.cumsum(size)]
             inside = np.repeat(runs.first[keep] - cuts[:-1], size) + np.arange(cuts[-1]) if len(keep) else np.empty(0, np.int64)
             doc, tie = (np.asarray(batch.column(i))[runs.doc[keep]] for i in (0, 1))
-            columns = [pa.array(runs.anchor[keep].view(np.int64)), pa.array(doc), pa.array(tie), pa.array(runs.start[keep].astype(np.int32)), _lists(runs.tags[inside].view(np.int32), cuts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc", "tie", "start", "tags"])
+            parts = salts[np.searchsorted(anchors, anchor)] if len(keep) else np.empty(0, np.int64)
+            salt = np.where(parts > 1, 1 + (tie & 0x7FFFFFFF) % np.maximum(parts, 1), 0)
+            columns = [pa.array(anchor.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(tie), pa.array(runs.start[keep].astype(np.int32)), _lists(runs.tags[inside].view(np.int32), cuts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "salt", "doc", "tie", "start", "tags"])
 
     return run
 
 
-_FACTORS = "doc long, tie long, start int, n int, ref long, ref_start int"
+_RUNS = "anchor long, salt int, doc long, tie long, start int, tags array<int>"
+_FACTORS = "key long, tag int, doc long, tie long, start int, n int, ref long, ref_start int"
+_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _FACTORS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 8, _KINDS, strict=True)], names=names)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor and place, to factors: n windows from ``start`` that also begin at ``ref_start`` of ``ref``."""
+    """Runs sorted by anchor, salt and place, to factors: n windows from ``start`` that also begin at ``ref_start`` of ``ref``.
+
+    Under a salt, a window's first place is still open: it goes on with n = 0, keyed by anchor and tag.
+    """
     now, seen, before = None, {}, None
     for batch in batches:
         out: list[tuple] = []
-        for anchor, doc, tie, start, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if anchor != now:
-                now, seen, before = anchor, {}, None
+        for anchor, salt, doc, tie, start, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (anchor, salt) != now:
+                now, seen, before = (anchor, salt), {}, None
             if (doc, tie, start) == before:
                 continue
             before, n = (doc, tie, start), 0
@@ -161,24 +177,34 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = seen.get(tag)
                 if place is None:
                     seen[tag] = (doc, i)
+                    if salt:
+                        out.append((anchor, tag, doc, tie, i, 0, None, None))
                 if n and (place is None or place != (ref, ref_start + n)):
-                    out.append((doc, tie, i - n, n, ref, ref_start))
+                    out.append((tie, 0, doc, tie, i - n, n, ref, ref_start))
                     n = 0
                 if place is not None:
                     if not n:
                         ref, ref_start = place
                     n += 1
             if n:
-                out.append((doc, tie, start + len(tags) - n, n, ref, ref_start))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds, strict=True)], names=["doc", "tie", "start", "n", "ref", "ref_start"])
+                out.append((tie, 0, doc, tie, start + len(tags) - n, n, ref, ref_start))
+        yield _rows(out)
 
 
-def _hot(runs: DataFrame) -> DataFrame:
-    """Factors of one window each for anchors that may hold a large part of all runs."""
-    rows = runs.select("anchor", "doc", "tie", "start", F.posexplode("tags").alias("i", "tag")).select("anchor", "tag", F.struct("doc", "tie", (F.col("start") + F.col("i")).alias("start")).alias("at"))
-    first = rows.groupBy("anchor", "tag").agg(F.min("at").alias("first"))
-    return rows.join(first, ["anchor", "tag"]).where("at > first").select("at.doc", "at.tie", "at.start", F.lit(1).alias("n"), F.col("first.doc").alias("ref"), F.col("first.start").alias("ref_start")).distinct()
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Factors pass; of open windows, sorted by anchor, tag and place, all but the first become factors."""
+    now = first = None
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key, tag, doc, tie, start, n, _, _ = row
+            if n:
+                out.append(row)
+            elif (key, tag) != now:
+                now, first = (key, tag), (doc, start)
+            else:
+                out.append((key, tag, doc, tie, start, 1, *first))
+        yield _rows(out)
 
 
 def _cut(window: int):
@@ -213,16 +239,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 def factors(docs: DataFrame, prepared: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Factors of all documents: doc, tie, start, n, ref, ref_start; ``n + window - 1`` words from ``start`` on."""
     counts = prepared.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1")
-    repeated = persist(counts, "repeated")
-    mine = prepared.select("doc", "tie", F.explode(F.array_distinct("anchors")).alias("anchor")).join(repeated.select("anchor"), "anchor")
-    mine = mine.groupBy("doc", "tie").agg(F.collect_list("anchor").alias("wanted"))
-    runs = _texts(docs).join(mine, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_blocks(window, gram), "anchor long, doc long, tie long, start int, tags array<int>")
-    large = repeated.where(F.col("count") > hot).select("anchor")
-    if large.isEmpty():
-        return runs.repartition("anchor").sortWithinPartitions("anchor", "doc", "tie", "start").mapInArrow(_parse, _FACTORS)
-    runs = persist(runs, "runs")
-    usual = runs.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc", "tie", "start").mapInArrow(_parse, _FACTORS)
-    return usual.unionAll(_hot(runs.join(large, "anchor", "left_semi")))
+    salts = F.ceil(F.col("count") / hot).cast("int")
+    mine = prepared.select("doc", "tie", F.explode(F.array_distinct("anchors")).alias("anchor")).join(counts.select("anchor", salts.alias("salts")), "anchor")
+    mine = mine.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "salts")).alias("wanted"))
+    runs = _texts(docs).join(mine, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_blocks(window, gram), _RUNS)
+    parsed = runs.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "tie", "start").mapInArrow(_parse, _FACTORS)
+    settled = parsed.repartition("key", "tag").sortWithinPartitions("key", "tag", "doc", "tie", "start").mapInArrow(_settle, _FACTORS)
+    return settled.drop("key", "tag")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
