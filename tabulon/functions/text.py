@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOTS = "••••"
 
@@ -30,12 +31,12 @@ def natural(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def natural_key(text: pd.Series) -> pd.Series:
     return text.map(natural, na_action="ignore")
 
