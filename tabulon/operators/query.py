@@ -11,6 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,8 +109,6 @@ class Query:
 
     def where_udf(self, fn: Callable[[Any], bool], *columns: str) -> Query:
         """Any Python predicate, row by row over Arrow batches; opt in, as it can't be pushed down."""
-        import pandas as pd
-
         @F.pandas_udf(T.BooleanType())
         def test(*parts: pd.Series) -> pd.Series:
             return pd.Series([bool(fn(*x)) for x in zip(*parts, strict=True)], dtype=bool)
