@@ -74,6 +74,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(parts) - edges, F.lit(0)).cast("long")
 
 
+def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds about ``most`` bytes of the text column, or a single row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        piece = (np.cumsum(sizes) - sizes) // most
+        cuts = [0, *(np.nonzero(np.diff(piece))[0] + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """Components of undirected ``edges(a long, b long)``: a row ``(node, root)`` for each node, root its component's least node.
 

@@ -32,7 +32,7 @@ def line_hash(line: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    return docs.withColumns({"_doc": F.coalesce(doc, F.lit(-(2**63)).cast("long")), "_tie": F.xxhash64(doc, doc.isNull(), F.coalesce(text, F.lit("")))})
+    return docs.select(F.struct("*").alias("row"), text.alias("text"), F.coalesce(doc, F.lit(-(2**63)).cast("long")).alias("doc"), F.xxhash64(doc, doc.isNull(), F.coalesce(text, F.lit(""))).alias("tie"))
 
 
 def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long: int = LONG) -> DataFrame:
@@ -56,8 +56,8 @@ def _same(a: Column, b: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """For each document with repeats: ``doc``, ``tie``, and ``dropped``, the numbers of its lines to delete."""
-    each = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.struct(i.alias("line"), line_hash(x).alias("hash"), n_words(x).cast("int").alias("words")))
-    lines = _keyed(docs).where("text is not null").select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.filter(each, lambda x: x["words"] > 0).alias("lines"))
+    each = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), line_hash(x).alias("hash"), n_words(x).cast("int").alias("words")))
+    lines = _keyed(docs).where("text is not null").select("doc", "tie", F.filter(each, lambda x: x["words"] > 0).alias("lines"))
     lines = lines.where(F.size("lines") > 0).select("doc", "tie", F.col("lines.line").alias("line"), F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
     lines = persist(lines.dropDuplicates(["doc", "tie"]), "lines")
     marks = persist(fingerprints(lines, gram, window, long).select("key", F.struct("doc", "tie", "pos").alias("at")), "marks")
@@ -83,11 +83,11 @@ def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """``docs`` with ``text`` without its repeated runs, and ``n_lines`` and ``n_removed``; a null text has 0 lines."""
-    dropped = repeated_lines(docs, gram, window, long).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("dropped").alias("_dropped"))
-    rows = _keyed(docs.drop("n_lines", "n_removed")).join(dropped, ["_doc", "_tie"], "left")
+    rows = _keyed(docs).join(repeated_lines(docs, gram, window, long), ["doc", "tie"], "left")
     parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_dropped"), lambda i: F.get(parts, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "dropped"), lambda i: F.get(parts, i))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    text = F.when(F.col("_dropped").isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    out = rows.withColumns({"n_lines": size, "n_removed": F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long"), "text": text})
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
+    kept_columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.select(*kept_columns, size.alias("n_lines"), removed.alias("n_removed"))

@@ -114,13 +114,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def with_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, and ``_copies``, how often the mix takes the row; rows that it doesn't take are left out.
+    """Each row of ``docs`` as the struct ``row``, and ``copies``, how often the mix takes it; rows that it doesn't take are left out.
 
     Rows equal in id, text and source tie, so those that the mix takes as often are as good as any other of them.
     """
     found = mix(docs, **options).groupBy("tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"))
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    keyed = docs.withColumn("_tie", F.xxhash64(doc, doc.isNull(), text, F.col("source").cast("string")))
-    place = F.row_number().over(Window.partitionBy("_tie").orderBy("_tie")) - 1
-    rows = keyed.join(found.select(F.col("tie").alias("_tie"), "each"), "_tie").withColumn("_copies", F.get("each", place))
-    return rows.where("_copies > 0").select(*docs.columns, "_copies")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(doc, doc.isNull(), text, F.col("source").cast("string")).alias("tie"))
+    place = F.row_number().over(Window.partitionBy("tie").orderBy("tie")) - 1
+    rows = keyed.join(found, "tie").withColumn("copies", F.get("each", place))
+    return rows.where("copies > 0").select("row", "copies")

@@ -284,13 +284,13 @@ def _leaders(radius: int):
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with ``_tie``, a key of id and text, and ``_group``, the least key of the texts it is linked with.
+    """Each row of ``docs`` as the struct ``row``, ``tie``, a key of id and text, and ``group``, the least key of the texts it is linked with.
 
     Candidates agree on the bits of one of several masks, the upper nodes, and lie within the radius there; a link is
     a candidate pair whose sets of shingles have the similarity (intersection over union). Equal fingerprints link.
     """
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_tie", F.xxhash64(doc, doc.isNull(), text))
+    keyed = docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +301,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x, shingle).view(np.int64) for x in binaries(batch.column(1))], pa.list_(pa.int64()))], names=["tie", "set"])
 
-    texts = keyed.select(F.col("_tie").alias("tie"), text.alias("text"))
+    texts = keyed.select("tie", "text")
     found = persist(texts.mapInArrow(prints, "tie long, f1 long, f2 long"), "wide")
     distinct = persist(found.groupBy("f1", "f2").agg(F.min("tie").alias("a")), "distinct")
     masks, radius = tables(distinct.count(), similarity, recall)
@@ -323,12 +323,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
     equal = found.join(distinct, ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
     roots = connected(links.unionAll(equal), "similar")
-    return keyed.join(roots.select(F.col("node").alias("_tie"), F.col("root").alias("_group")), "_tie", "left").withColumn("_group", F.coalesce("_group", "_tie"))
+    grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root"), "tie", "left")
+    return grouped.select("row", "doc", "tie", F.coalesce("root", "tie").alias("group"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near duplicates: that of the least doc_id (null last), then of the least key; rows that repeat wholly count as one."""
-    grouped = similar_documents(docs, **options).withColumn("_row", F.monotonically_increasing_id())
-    grouped = persist(grouped, "grouped")
-    best = grouped.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_tie", "_row")).alias("best"))
-    return grouped.join(best.select("_group", F.col("best._row").alias("_row")), ["_group", "_row"], "left_semi").select(*docs.columns)
+    grouped = persist(similar_documents(docs, **options).withColumn("place", F.monotonically_increasing_id()), "grouped")
+    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "tie", "place")).alias("best"))
+    return grouped.join(best.select("group", "best.place"), ["group", "place"], "left_semi").select("row.*")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import binaries, persist, split_words
+from tabulon.llm.common import binaries, bounded, persist, split_words
 
 WINDOW = 20
 GRAM = 8
@@ -114,7 +114,7 @@ def _anchors(window: int, gram: int):
     """doc, tie, text, doc_id to doc, tie, doc_id, n_words, hash of all words, and the anchors of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             runs = Runs(batch.column(2), window, gram)
             times = 1 + runs.repeats.astype(np.int64)
             doc, anchor = np.repeat(runs.doc, times), np.repeat(runs.anchor, times)
@@ -130,7 +130,7 @@ def _blocks(window: int, gram: int):
     """doc, tie, text, repeated anchors with their numbers of salts to the runs of those anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             runs = Runs(batch.column(2), window, gram)
             wanted = batch.column(3).flatten()
             anchors, at = np.unique(np.asarray(wanted.field(0), dtype=np.int64).view(np.uint64), return_index=True)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import split_words
+from tabulon.llm.common import bounded, split_words
 
 FOLDS, SAMPLE, SEED = 5, 20_000, 11
 #: A word or stem joins the lexicon if this share of the toxic rows have it, and so many of them at least, and it is
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     names = [f"p{i}" for i in range(len(PATTERNS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             counts = grammar.counts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T)], names=["toxic", *names])
 
@@ -196,7 +196,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     grammar = Grammar(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             counts = grammar.counts(batch.column(2))
             p = 1 / (1 + np.exp(-np.clip(evidence(counts) @ weights + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(counts.sum(1).astype(np.int64))], names=["doc_id", "held_out", "score", "predicted", "clauses"])

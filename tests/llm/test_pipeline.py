@@ -39,8 +39,8 @@ def test_near_duplicates_recall_against_brute_force(spark):
     texts = near_corpus()
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS).repartition(3)
     for bucket in (simhash.BUCKET, 2):
-        rows = simhash.similar_documents(df, bucket=bucket).collect()
-        group = {r.doc_id: r._group for r in rows}
+        rows = simhash.similar_documents(df, bucket=bucket).select("row.doc_id", "group").collect()
+        group = {r.doc_id: r.group for r in rows}
         sets = [shingles(t) for t in texts]
         near = lone = 0
         for i in range(len(texts)):
