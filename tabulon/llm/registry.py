@@ -124,5 +124,18 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+win AS (SELECT doc_id, p, md5(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS h FROM w QUALIFY p + 20 <= n),
+late AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM late, range(20) t(k)),
+kept AS (SELECT w.doc_id, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY w.p) FILTER (WHERE gone.p IS NULL) AS text
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL}
+    return {"op6_mix": OP6_SQL, "op8_lines": OP8_SQL, "op10_substring": OP10_SQL}
