@@ -1 +1,8 @@
 """Columnar record analytics on Spark: filters, fluent queries, nested export templates, datasets."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions go to the executors by value, so that the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
