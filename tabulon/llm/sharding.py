@@ -27,6 +27,8 @@ SHARDS = 16
 SEED = 20_241
 #: Bytes of text in a bucket, about: what a task holds at once.
 BUCKET_BYTES = 8 << 20
+#: Buckets that a task reads one after the other, about.
+TASK_BUCKETS = 2
 #: Bytes that a row is reckoned with besides its text.
 ROW_BYTES = 64
 #: Buckets summed up in one task; the sums of such groups are summed in another.
@@ -90,7 +92,8 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     begins = persist(counts.join(groups.select("grp", before.alias("before")), "grp").select("bucket", (F.col("before") + inside).cast("long").alias("begin")), "begins")
     total = rows.count()
 
-    dealt = rows.repartition("bucket").join(begins, "bucket").sortWithinPartitions("bucket", "scatter", "doc_id")
+    # a task gets about TASK_BUCKETS buckets, however many there are
+    dealt = rows.repartition(-(-buckets // TASK_BUCKETS), "bucket").join(begins, "bucket").sortWithinPartitions("bucket", "scatter", "doc_id")
     mixed = dealt.mapInArrow(_shuffled(seed), dealt.schema)
     # whole numbers throughout: shard s begins at the place ceil(s * total / shards)
     shard = f"((begin * {shards}L) div {max(total, 1)}L)"
