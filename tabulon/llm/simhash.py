@@ -317,13 +317,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     again = left.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS)
     pairs = persist(first.where("b is not null").select("a", "b").unionAll(again.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("tie")).unionAll(pairs.select(F.col("b").alias("tie"))).distinct()
-    known = persist(texts.join(wanted, "tie").dropDuplicates(["tie"]).mapInArrow(sets, "tie long, set array<long>"), "sets")
+    # texts are joined by a merge at every size: both sides grow with the input
+    known = persist(texts.join(wanted.hint("merge"), "tie").dropDuplicates(["tie"]).mapInArrow(sets, "tie long, set array<long>"), "sets")
     both = pairs.join(known.select(F.col("tie").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("tie").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
     equal = found.join(distinct, ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
     roots = connected(links.unionAll(equal), "similar")
-    grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root"), "tie", "left")
+    grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left")
     return grouped.select("row", "doc", "tie", F.coalesce("root", "tie").alias("group"))
 
 
