@@ -214,6 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 #: Members from which a bucket is parted among tasks.
 BUCKET = 4096
+#: Members up to which a bucket's pairs are all compared at once.
+EXACT = 32
 #: Bits of the wider fingerprint.
 WIDE = 128
 
@@ -254,7 +256,7 @@ _PAIRS = "key long, a long, b long, f1 long, f2 long"
 def _leaders(radius: int):
     """Rows sorted by key and part: a member joins every leader within the radius, or becomes one.
 
-    Leaders of parts stay open (b is null) and go on to be compared with those of the bucket's other parts.
+    Under part -1 every member leads, so all pairs are compared. Leaders of parts stay open (b is null) and go on to be compared with those of the bucket's other parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +272,8 @@ def _leaders(radius: int):
                     near = np.nonzero(np.bitwise_count(lead[:, :n] ^ f[:, i : i + 1]).sum(0) <= radius)[0]
                     if len(near):
                         out += [(key, a, ids[j], None, None) for j in near.tolist()]
-                        continue
+                        if part >= 0:
+                            continue
                 if n == lead.shape[1]:
                     lead = np.concatenate([lead, np.empty_like(lead)], axis=1)
                 lead[:, n] = f[:, i]
@@ -283,11 +286,43 @@ def _leaders(radius: int):
     return run
 
 
+def _across(radius: int):
+    """Rows sorted by key and group: all pairs within the radius whose groups differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            start = np.nonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])[0] if rows.shape[1] else np.empty(0, np.int64)
+            for begin, end in zip(start.tolist(), [*start[1:].tolist(), rows.shape[1]], strict=False):
+                _, group, a, *f = rows[:, begin:end]
+                f, n = np.stack(f).view(np.uint64), end - begin
+                later = np.searchsorted(group, group, side="right")  # where the groups after a row's own begin
+                step = max(1, FRONTIER // n)
+                for i in range(0, int(np.searchsorted(later, n)), step):
+                    low = later[i]
+                    far = np.bitwise_count(f[:, i : i + step, None] ^ f[:, None, low:]).sum(0, dtype=np.int64)
+                    x, y = np.nonzero((far <= radius) & (np.arange(low, n) >= later[i : i + step, None]))
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(a[i + x]), pa.array(a[low + y])], names=["a", "b"])
+
+        held = np.empty((5, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = np.concatenate([held, np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns])], axis=1)
+            cut = int(np.searchsorted(held[0], held[0, -1]))
+            yield from found(held[:, :cut])
+            held = held[:, cut:]
+        yield from found(held)
+
+    return run
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = BUCKET) -> DataFrame:
     """Each row of ``docs`` as the struct ``row``, ``tie``, a key of id and text, and ``group``, the least key of the texts it is linked with.
 
     Candidates agree on the bits of one of several masks, the upper nodes, and lie within the radius there; a link is
     a candidate pair whose sets of shingles have the similarity (intersection over union). Equal fingerprints link.
+    Buckets of over ``EXACT`` members are searched twice: by leaders, then all pairs that the links so far don't join.
     """
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
@@ -307,23 +342,34 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     masks, radius = tables(distinct.count(), similarity, recall)
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("f1").bitwiseAND(F.lit(m1)), F.col("f2").bitwiseAND(F.lit(m2))) for i, (m1, m2) in enumerate(masks)))
     rows = distinct.select("a", "f1", "f2", F.explode(keys).alias("key"))
-    count = rows.groupBy("key").count().where(F.col("count") > 1)
-    parts = F.ceil(F.col("count") / bucket).cast("int")
+    count = persist(rows.groupBy("key").count().where(F.col("count") > 1), "buckets")
+    small = F.col("count") <= min(EXACT, bucket)
+    parts = F.when(small, -1).otherwise(F.ceil(F.col("count") / bucket)).cast("int")
     rows = rows.join(count.select("key", parts.alias("parts")), "key")
-    rows = rows.withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(0).cast("int"))
+    rows = rows.withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(F.least("parts", F.lit(0))).cast("int"))
     chosen = ["key", "part", "a", "f1", "f2"]
     first = persist(rows.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS), "leaders")
     left = first.where("b is null").select("key", F.lit(0).alias("part"), "a", "f1", "f2")
     again = left.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS)
-    pairs = persist(first.where("b is not null").select("a", "b").unionAll(again.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("tie")).unionAll(pairs.select(F.col("b").alias("tie"))).distinct()
-    # texts are joined by a merge at every size: both sides grow with the input
-    known = persist(texts.join(wanted.hint("merge"), "tie").dropDuplicates(["tie"]).mapInArrow(sets, "tie long, set array<long>"), "sets")
-    both = pairs.join(known.select(F.col("tie").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("tie").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    def alike(found: DataFrame) -> DataFrame:
+        pairs = persist(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("tie")).unionAll(pairs.select(F.col("b").alias("tie"))).distinct()
+        # texts are joined by a merge at every size: both sides grow with the input
+        known = persist(texts.join(wanted.hint("merge"), "tie").dropDuplicates(["tie"]).mapInArrow(sets, "tie long, set array<long>"), "sets")
+        both = pairs.join(known.select(F.col("tie").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("tie").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    links = alike(first.where("b is not null").select("a", "b").unionAll(again.select("a", "b")))
     equal = found.join(distinct, ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
     roots = connected(links.unionAll(equal), "similar")
+    large = count.where(~small).select("key")
+    if not large.isEmpty():
+        joined = distinct.join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", "f1", "f2", F.coalesce("root", "a").alias("root"))
+        rows = joined.select(F.explode(keys).alias("key"), "root", "a", "f1", "f2").join(large, "key")
+        more = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(radius), "a long, b long")
+        roots = connected(alike(more).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
     grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left")
     return grouped.select("row", "doc", "tie", F.coalesce("root", "tie").alias("group"))
 

@@ -54,6 +54,25 @@ def test_near_duplicates_recall_against_brute_force(spark):
         assert near > 50 and lone <= 0.05 * near
 
 
+def test_near_duplicates_in_a_family_of_similar_texts(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, texts = words(162), []
+    for _ in range(150):
+        own = words(38)
+        copy = list(own)
+        copy[10], copy[25] = words(2)
+        texts += [" ".join(shared + own), " ".join(shared + copy)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS).repartition(3)
+    sets = [shingles(t) for t in texts]
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(like(2 * i, 2 * i + 1) > 0.85 and 0.6 < like(2 * i, (2 * i + 2) % 300) < 0.75 for i in range(150))
+    for bucket in (simhash.BUCKET, 50):
+        group = {r.doc_id: r.group for r in simhash.similar_documents(df, bucket=bucket).select("row.doc_id", "group").collect()}
+        assert sum(group[2 * i] == group[2 * i + 1] for i in range(150)) >= 0.95 * 150
+        assert len({group[2 * i] for i in range(150)}) == 150
+
+
 def test_keep_one_of_repeated_null_and_empty_rows(spark):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(5, long, "en", "a", 1), (2, long.upper(), "en", "b", 1), (2, long.upper(), "en", "b", 1), (None, long, None, None, None), (7, None, "en", "a", 1), (8, "", "en", "a", 1), (9, "other words", "en", "a", 1)]
