@@ -73,7 +73,7 @@ class Runs:
         codes, words, self.offsets = split_words(column)
         none = np.empty(0, np.int64)
         self.doc = self.start = self.size = none
-        self.anchor, self.tags, self.repeats = none.view(np.uint64), none.astype(np.uint32), none.astype(bool)
+        self.anchor, self.tags, self.repeats = none.view(np.uint64), none.view(np.uint64), none.astype(bool)
         if len(codes) < window:
             return
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()], np.uint64)[codes]
@@ -95,7 +95,7 @@ class Runs:
             again[s:] |= whole[s:] == whole[:-s]
         self.doc, self.start = doc[first], at[first] - self.offsets[doc[first]]
         self.size = np.diff(np.r_[first, len(at)])
-        self.anchor, self.tags = least[first], (whole >> np.uint64(32)).astype(np.uint32)
+        self.anchor, self.tags = least[first], whole
         self.first, self.repeats = first, np.logical_or.reduceat(again, first)
 
 
@@ -142,15 +142,15 @@ def _blocks(window: int, gram: int):
             doc, tie = (np.asarray(batch.column(i))[runs.doc[keep]] for i in (0, 1))
             parts = salts[np.searchsorted(anchors, anchor)] if len(keep) else np.empty(0, np.int64)
             salt = np.where(parts > 1, 1 + (tie & 0x7FFFFFFF) % np.maximum(parts, 1), 0)
-            columns = [pa.array(anchor.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(tie), pa.array(runs.start[keep].astype(np.int32)), _lists(runs.tags[inside].view(np.int32), cuts, pa.int32())]
+            columns = [pa.array(anchor.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(tie), pa.array(runs.start[keep].astype(np.int32)), _lists(runs.tags[inside].view(np.int64), cuts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "salt", "doc", "tie", "start", "tags"])
 
     return run
 
 
-_RUNS = "anchor long, salt int, doc long, tie long, start int, tags array<int>"
-_FACTORS = "key long, tag int, doc long, tie long, start int, n int, ref long, ref_start int"
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+_RUNS = "anchor long, salt int, doc long, tie long, start int, tags array<long>"
+_FACTORS = "key long, tag long, doc long, tie long, start int, n int, ref long, ref_start int"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

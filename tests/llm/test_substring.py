@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tabulon.llm import substring
@@ -74,3 +75,21 @@ def test_factors_point_at_equal_words(spark):
 
 def test_empty_table(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_windows_that_differ_in_low_bits_only_are_not_equal(monkeypatch):
+    import pyarrow as pa
+
+    grams = substring._grams
+    monkeypatch.setattr(substring, "_grams", lambda h, k: grams(h, k) & np.uint64(0xFFFFFFFF) if k == substring.WINDOW else grams(h, k))
+    own = lambda i, side: " ".join(f"w{i}{side}{j}" for j in range(30))
+    texts = pa.array([f"{own(i, 'a')} one passage of sixteen words that all of these documents share with each other and with none {own(i, 'b')}" for i in range(40)])
+    runs = substring.Runs(texts, substring.WINDOW, substring.GRAM)
+    anchors = np.unique(runs.anchor)
+    assert len(anchors) < len(runs.anchor)
+    wanted = pa.array([[{"anchor": int(a), "salts": 1} for a in anchors.view(np.int64)]] * len(texts), pa.list_(pa.struct([("anchor", pa.int64()), ("salts", pa.int64())])))
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts, wanted], names=["doc", "tie", "text", "wanted"])
+    rows = pa.Table.from_batches(substring._blocks(substring.WINDOW, substring.GRAM)(iter([batch])))
+    rows = rows.sort_by([(c, "ascending") for c in ("anchor", "salt", "doc", "tie", "start")])
+    assert sum(b.num_rows for b in substring._parse(iter(rows.to_batches()))) == 0
