@@ -6,8 +6,10 @@ sign. Spark's FP-growth mines combinations of tokens and label over labelled pag
 tokens is as reliable. An inverted index has each rule under its rarest token: a page's tokens look up the rules, and
 a rule matches if all its tokens are there. A page that no rule matches is allowed.
 
-At most ``SAMPLE`` labelled pages are mined, taken by a hash of the id. The number of rules is bounded by support and
-``TOKENS``, the tokens that a page may have in mining; in matching a page has all its tokens.
+At most ``SAMPLE`` labelled pages are mined, taken by a hash of the id, each with all its tokens. Tokens that are rarer
+among pages labelled bad than the support are in no rule and are left out. Tokens that the same labelled pages have, as
+the keys of one form of query, are mined as one: a rule with two of them says no more than with either, so each rule
+stands for those with another of the same pages' tokens in its place. The support bounds the number of rules.
 
 Nulls: a null url, or one without ``://``, has empty host and path and no tokens, and is allowed. Labels that are null
 are not mined. Repeated rows are judged alike. An empty table gives no row; without labels there are no rules.
@@ -23,7 +25,7 @@ from tabulon.llm.common import persist
 
 #: Verdict, host and path of the rules that come before the method's.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-SAMPLE, TOKENS = 200_000, 12
+SAMPLE = 200_000
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
 BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,11 +69,18 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
 def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``(tokens, support, confidence)``; labels speak of the page whose id is their doc_id, 0 in ``quality`` is bad."""
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    known = pages.join(some, pages.page_id == some.doc_id).select(F.slice(tokens_of(F.col("url")), 1, TOKENS).alias("tokens"), "quality").where(F.size("tokens") > 0)
-    baskets = persist(known.select(F.when(F.col("quality") == 0, F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")), "baskets")
-    total = baskets.count()
+    known = pages.join(some, pages.page_id == some.doc_id).select(tokens_of(F.col("url")).alias("tokens"), "quality").where(F.size("tokens") > 0)
+    known = persist(known.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    total = known.count()
     if not total:
-        return baskets.select(F.col("items").alias("tokens"), F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence"))
+        return known.select("tokens", F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence"))
+    each = known.select("row", "quality", F.explode("tokens").alias("token"))
+    same = F.struct(*(F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (0, 1)), F.count(F.lit(1)).alias("n"))
+    often = each.groupBy("token").agg(F.count(F.when(F.col("quality") == 0, 1)).alias("bad"), same.alias("same")).where(F.col("bad") >= min_support * total)
+    classes = persist(often.groupBy("same").agg(F.min("token").alias("token"), F.collect_list("token").alias("members")), "classes")
+    mined = each.join(classes, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    baskets = persist(known.join(mined, "row", "left").select(F.when(F.col("quality") == 0, F.array_append(items, F.lit(BLOCK))).otherwise(items).alias("items")), "baskets")
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
     sets = persist(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     blocked = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("both"))
@@ -81,7 +90,13 @@ def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support:
     fewer = rules.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("out")).select("tokens", "confidence", F.array_remove("tokens", F.col("out")).alias("less"))
     general = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("other"))
     idle = fewer.join(general, "less").where("other >= confidence").select("tokens").distinct()
-    return rules.join(idle, "tokens", "left_anti")
+    rules = rules.join(idle, "tokens", "left_anti")
+    # a rule for each choice of one of the tokens that its own stand for
+    split = rules.withColumn("token", F.explode("tokens")).join(classes.select("token", "members"), "token")
+    split = split.groupBy("tokens", "support", "confidence").agg(F.collect_list("members").alias("choices"))
+    start = F.array(F.array().cast("array<string>"))
+    every = F.aggregate("choices", start, lambda done, some: F.flatten(F.transform(done, lambda d: F.transform(some, lambda t: F.array_append(d, t)))))
+    return split.select(F.explode(every).alias("tokens"), "support", "confidence").withColumn("tokens", F.array_sort("tokens"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -110,3 +110,15 @@ def test_mined_rules_against_brute_force(spark):
     assert set(rules) == want and want
     judged = {r.page_id: r.verdict for r in urlfilter.judge(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), **options).collect()}
     assert judged == {i: "block" if any(set(c) <= set(tokens[i]) for c in want) else "allow" for i, _ in pages}
+
+
+def test_late_tokens_of_long_urls_are_mined(spark):
+    deep = "/".join("abcdefghijklmn")
+    pages = [(i, f"http://site{'xyz'[i % 3]}.net/{deep}/{'spam' if i % 4 == 0 else 'zine'}?ref=1&{'win=1&zip=2' if i % 4 == 0 else 'who=1'}") for i in range(120)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    options = {"min_support": 0.02, "min_confidence": 0.6}
+    rules = {tuple(r.tokens): (r.support, r.confidence) for r in urlfilter.mine(df, labels, **options).collect()}
+    assert rules == {(t,): (0.25, 1.0) for t in ("p:spam", "q:win", "q:zip")}
+    judged = {r.page_id: r.verdict for r in urlfilter.judge(df, labels, **options).collect()}
+    assert judged == {i: "allow" if i % 4 else "block" for i in range(120)}
