@@ -68,10 +68,8 @@ def utf8_size(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Words of a text, 0 for null: parts between white space, less an empty first and last part."""
-    parts = F.split(text, SPACE)
-    edges = (F.element_at(parts, 1) == "").cast("int") + ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
-    return F.coalesce(F.size(parts) - edges, F.lit(0)).cast("long")
+    """Words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,10 @@ from tabulon.llm.common import n_words, persist
 GRAM, WINDOW = 2, 3
 #: Words from which a line is a fingerprint by itself.
 LONG = 25
+#: A key, or an earliest document, with over one in ``SHARE`` of all rows is hot; so there are ``SHARE`` of them at most.
+SHARE = 2000
+#: Lines that an extension compares at first, and then; only what is still equal is compared to the end.
+STEPS = (16, 512)
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -48,35 +52,68 @@ def fingerprints(lines: DataFrame, gram: int = GRAM, window: int = WINDOW, long:
     return rows.select("doc", "tie", F.inline(F.concat(chosen, alone)))
 
 
-def _same(a: Column, b: Column) -> Column:
+def _equal(a: Column, b: Column) -> Column:
     """How many items two arrays agree on from the start."""
     at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
     return F.when(at > 0, at - 1).otherwise(F.size(a)).cast("int")
 
 
+def _run(a: Column, b: Column, i: Column, j: Column, back: bool) -> Column:
+    """How many items ``a`` and ``b`` agree on, from the places i and j (from 0) on, or before them going back.
+
+    Short runs look at a few items only, so many hits in a long document cost little each.
+    """
+
+    def part(most: Column) -> tuple[Column, Column]:
+        if back:
+            return tuple(F.reverse(F.slice(x, at - most + 1, most)) for x, at in ((a, i), (b, j)))
+        return tuple(F.slice(x, at + 1, most) for x, at in ((a, i), (b, j)))
+
+    there = F.least(i, j) if back else F.least(F.size(a) - i, F.size(b) - j)
+    found = _equal(*part(there))
+    for step in reversed(STEPS):
+        near = _equal(*part(F.least(there, F.lit(step))))
+        found = F.when((near < step) | (there <= step), near).otherwise(found)
+    return found
+
+
+def _first_places(marks: DataFrame) -> DataFrame:
+    """``marks(key, at)`` that lie after their key's earliest place, with that place as ``first``.
+
+    Hot keys are too few to matter in size and are broadcast, so that their marks stay where they are; the marks of
+    the others meet their key in a shuffle.
+    """
+    first = persist(marks.groupBy("key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
+    most = max(1, (first.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    hot = F.broadcast(first.where(F.col("n") > most).select("key", F.col("first").alias("known")))  # broadcast: SHARE rows at most
+    marked = marks.join(hot, "key", "left")
+    cold = marked.where("known is null").drop("known").join(first.where(F.col("n") <= most).select("key", "first"), "key")
+    return marked.where("known is not null").withColumnRenamed("known", "first").unionByName(cold).where("at > first")
+
+
 def repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: int = LONG) -> DataFrame:
     """For each document with repeats: ``doc``, ``tie``, and ``dropped``, the numbers of its lines to delete."""
     each = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), line_hash(x).alias("hash"), n_words(x).cast("int").alias("words")))
     lines = _keyed(docs).where("text is not null").select("doc", "tie", F.filter(each, lambda x: x["words"] > 0).alias("lines"))
-    lines = lines.where(F.size("lines") > 0).select("doc", "tie", F.col("lines.line").alias("line"), F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
+    lines = lines.select("doc", "tie", F.col("lines.line").alias("line"), F.col("lines.hash").alias("hashes"), F.col("lines.words").alias("words"))
     lines = persist(lines.dropDuplicates(["doc", "tie"]), "lines")
     marks = persist(fingerprints(lines, gram, window, long).select("key", F.struct("doc", "tie", "pos").alias("at")), "marks")
-    first = marks.groupBy("key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hits = marks.join(first, "key").where("at > first")
-    hits = hits.groupBy(F.col("at.doc").alias("doc"), F.col("at.tie").alias("tie"), F.col("first.doc").alias("doc0"), F.col("first.tie").alias("tie0"))
+    hits = _first_places(marks).groupBy(F.col("at.doc").alias("doc"), F.col("at.tie").alias("tie"), F.col("first.doc").alias("doc0"), F.col("first.tie").alias("tie0"))
     hits = hits.agg(F.array_sort(F.collect_set(F.struct(F.col("at.pos").alias("p"), F.col("first.pos").alias("q")))).alias("hits"))
     # a hit that goes on from the one before it, or the one before that, is in the same run
     follows = lambda x, y: (F.get("hits", y)["p"] == x["p"] - 1) & (F.get("hits", y)["q"] == x["q"] - 1)
-    hits = hits.withColumn("hits", F.filter("hits", lambda x, i: ~F.coalesce(follows(x, i - 1), F.lit(False)) & ~F.coalesce(follows(x, i - 2), F.lit(False))))
-    pairs = hits.join(lines.select("doc", "tie", "line", F.col("hashes").alias("a")), ["doc", "tie"])
-    pairs = pairs.join(lines.select(F.col("doc").alias("doc0"), F.col("tie").alias("tie0"), F.col("hashes").alias("b")), ["doc0", "tie0"])
-
-    def span(x: Column) -> Column:
-        back = _same(F.reverse(F.slice("a", 1, x["p"])), F.reverse(F.slice("b", 1, x["q"])))
-        on = _same(F.slice("a", x["p"] + 1, F.size("a")), F.slice("b", x["q"] + 1, F.size("b")))
-        return F.sequence(x["p"] - back, x["p"] + on - 1)
-
-    places = F.array_distinct(F.flatten(F.transform("hits", span)))
+    hits = persist(hits.withColumn("hits", F.filter("hits", lambda x, i: ~F.coalesce(follows(x, i - 1), F.lit(False)) & ~F.coalesce(follows(x, i - 2), F.lit(False)))), "hits")
+    # an earliest document that very many have hits in comes once for each salt
+    uses = persist(hits.groupBy("doc0", "tie0").agg(F.count(F.lit(1)).alias("n")), "uses")
+    most = max(1, (uses.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    salts = uses.select("doc0", "tie0", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    hot = F.broadcast(salts.where("salts > 1"))  # broadcast: SHARE rows at most
+    pairs = hits.join(hot, ["doc0", "tie0"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "tie"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    earliest = lines.select(F.col("doc").alias("doc0"), F.col("tie").alias("tie0"), F.col("hashes").alias("b")).join(salts, ["doc0", "tie0"])
+    earliest = earliest.select("doc0", "tie0", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = pairs.join(earliest, ["doc0", "tie0", "salt"]).join(lines.select("doc", "tie", "line", F.col("hashes").alias("a")), ["doc", "tie"])
+    a, b = F.col("a"), F.col("b")
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["p"] - _run(a, b, x["p"], x["q"], True), x["p"] + _run(a, b, x["p"], x["q"], False) - 1))))
     gone = pairs.select("doc", "tie", F.explode(F.transform(places, lambda i: F.get("line", i))).alias("gone"))
     return gone.groupBy("doc", "tie").agg(F.collect_set("gone").alias("dropped"))
 
