@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.text import sort_key
 from tabulon.functions.values import ValidationError
+from tabulon.sources.scratch import persist
 
 ROW_ID = "_row_id"
 
 
-def with_row_ids(df: DataFrame, *order: str) -> DataFrame:
+def with_row_ids(df: DataFrame, *order: str | Column) -> DataFrame:
     """Row ids from 0, gapless, in the given total order.
 
-    Rows are ranged by the order, counted for each range, and numbered inside it, so no task sees all rows.
+    Rows are ranged by the order and written once with their range and place in it; both the counts and the ids are
+    made from what was written, so they speak of the same ranges however the plan is cut. No task sees all rows.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    written = persist(ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
+    counts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(counts.select("_part", before.alias("_before")), "_part").withColumn(ROW_ID, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    begins = F.broadcast(counts.select("_part", before.alias("_before")))  # broadcast: a row for each partition
+    return written.join(begins, "_part").withColumn(ROW_ID, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def sort_columns(df: DataFrame, keys: list[Any]) -> list[Column]:
@@ -77,15 +80,21 @@ def top_per_group(df: DataFrame, groups: list[str], keys: list[Any], k: int) ->
 
 
 def out_of_order(df: DataFrame, keys: list[Any]) -> DataFrame:
-    """Rows that sort before the row ahead of them in file order; partition edges are compared too."""
-    rows = df.withColumn("_p", F.floor(F.col(ROW_ID) / 100_000))
-    names = [k["column"] if isinstance(k, dict) else k.removeprefix("-") for k in keys]
-    before = df.select((F.col(ROW_ID) + 1).alias(ROW_ID), *(df[n].alias(f"_before_{n}") for n in names))
-    joined = rows.drop("_p").join(before, ROW_ID)
-    bad = F.lit(False)
-    for key, name in reversed(list(zip(keys, names, strict=True))):
-        now, then = F.col(name), F.col(f"_before_{name}")
-        down = (key.get("descending", False) if isinstance(key, dict) else key.startswith("-"))
-        less = F.coalesce(now < then, now.isNull() & then.isNotNull()) if not down else F.coalesce(now > then, now.isNotNull() & then.isNull())
+    """Rows that sort before the row ahead of them in file order, by keys of any kind; a join by place, so partition edges count too."""
+    spec = [dict(k) if isinstance(k, dict) else {"column": k.removeprefix("-"), "descending": k.startswith("-")} for k in keys]
+    down = [s.get("descending", False) for s in spec]
+    parts: list[tuple[str, Column, bool]] = []
+    for i, s in enumerate(spec):
+        if s["column"] not in df.columns:
+            raise ValidationError(f"unknown or hidden column {s['column']!r}")
+        more = {k: v for k, v in s.items() if k not in ("column", "descending")}
+        for j, c in enumerate(sort_key(df[s["column"]], **more) if more else [df[s["column"]]]):
+            parts.append((f"_k{i}_{j}", c, down[i]))
+    rows = df.select("*", *(c.alias(n) for n, c, _ in parts))
+    before = df.select((F.col(ROW_ID) + 1).alias(ROW_ID), *(c.alias(f"{n}_before") for n, c, _ in parts))
+    joined, bad = rows.join(before, ROW_ID), F.lit(False)
+    for n, _, falls in reversed(parts):
+        now, then = F.col(n), F.col(f"{n}_before")
+        less = F.coalesce(now > then, now.isNotNull() & then.isNull()) if falls else F.coalesce(now < then, now.isNull() & then.isNotNull())
         bad = less | (now.eqNullSafe(then) & bad)
     return joined.where(bad).select(*df.columns)

@@ -8,19 +8,25 @@ file access goes through Hadoop's file systems.
 from __future__ import annotations
 
 import json
+import os
+import socket
+import threading
+import time
 import uuid
 from collections.abc import Iterable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.values import ValidationError, coerce, literal
 from tabulon.operators.filters import as_value
 from tabulon.operators.links import Link, check_links
-from tabulon.operators.orders import ROW_ID, sort_columns, with_row_ids
+from tabulon.operators.orders import ROW_ID, out_of_order, sort_columns, with_row_ids
+from tabulon.sources.scratch import persist
 
 
 class Files:
@@ -107,16 +113,17 @@ class Dataset:
 
     # -- reading
     def table(self, name: str) -> DataFrame:
-        """The table's rows with their ids; deleted ones are left out by an anti join, which small lists broadcast."""
-        t = self._table(name)
+        """The table's rows with their ids; deleted ones are left out by one anti join with the lists of all appends."""
+        return self._read(self._table(name))
+
+    def _read(self, t: dict) -> DataFrame:
         schema = T.StructType.fromJson(t["schema"])
-        parts = []
-        for s in t["segments"]:
-            df = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(ROW_ID, T.LongType())])).parquet(f"{self.path}/{s['path']}")
-            parts.append(df.withColumn(ROW_ID, F.col(ROW_ID) + s["base"]))
+        wide = T.StructType([*schema.fields, T.StructField(ROW_ID, T.LongType())])
+        parts = [self.spark.read.schema(wide).parquet(f"{self.path}/{s['path']}").withColumn(ROW_ID, F.col(ROW_ID) + s["base"]) for s in t["segments"]]
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        for d in t["deletes"]:
-            df = df.join(self.spark.read.schema(f"{ROW_ID} long").parquet(f"{self.path}/{d}"), ROW_ID, "left_anti")
+        if t["deletes"]:
+            gone = self.spark.read.schema(f"{ROW_ID} long").parquet(*(f"{self.path}/{d}" for d in t["deletes"]))
+            df = df.join(gone, ROW_ID, "left_anti")
         return df.select(*schema.names, ROW_ID)
 
     def tables(self) -> dict[str, DataFrame]:
@@ -139,10 +146,19 @@ class Dataset:
     # -- rewriting
     def update(self, name: str, insert: Any = None, upsert: Any = None, key_columns: list[str] | None = None, delete: Any = None, set_: dict | None = None, where: Any = None, sorted_by: list | None = None) -> dict:
         """One new version with all changes; upserts replace in place, and take precedence over deletes."""
+        return self.update_tables({name: {"insert": insert, "upsert": upsert, "key_columns": key_columns, "delete": delete, "set_": set_, "where": where, "sorted_by": sorted_by}})[name]
+
+    def update_tables(self, changes: dict[str, dict]) -> dict[str, dict]:
+        """Changes of several tables, each as the arguments of ``update``, in one new version."""
+        done = {name: self._rewrite(name, **what) for name, what in changes.items()}
+        self._next({**self.manifest, "tables": {**self.manifest["tables"], **{n: made for n, (made, _) in done.items()}}})
+        return {n: counts for n, (_, counts) in done.items()}
+
+    def _rewrite(self, name: str, insert: Any = None, upsert: Any = None, key_columns: list[str] | None = None, delete: Any = None, set_: dict | None = None, where: Any = None, sorted_by: list | None = None) -> tuple[dict, dict]:
         t, df = self._table(name), self.table(name)
         schema = T.StructType.fromJson(t["schema"])
         counts = {"inserted": 0, "updated": 0, "deleted": 0}
-        before = df.count()
+        before = t["rows"]
         fresh = [self._rows(insert, schema)] if insert is not None else []
         rows = df.withColumn("_keep", F.lit(True)).withColumn("_order", F.lit(0))
         if set_ is not None:
@@ -163,7 +179,7 @@ class Dataset:
                 raise ValidationError("upsert needs key columns of the table")
             new = last_per_key(self._rows(upsert, schema, "_place"), keys, "_place").withColumn("_new", F.lit(True))
             firsts = rows.groupBy(*(f"`{k}`" for k in keys)).agg(F.min(ROW_ID).alias("_first"))
-            hits = new.alias("n").join(firsts.alias("f"), reduce(lambda a, b: a & b, [F.col(f"n.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in keys]), "left").select("n.*", "_first")
+            hits = persist(new.alias("n").join(firsts.alias("f"), reduce(lambda a, b: a & b, [F.col(f"n.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in keys]), "left").select("n.*", "_first"), "hits")
             matched = hits.where("_first is not null")
             replaced = matched.select(*(F.col(f"`{c}`") for c in schema.names), F.col("_first").alias(ROW_ID), F.lit(True).alias("_keep"), F.lit(0).alias("_order"))
             others = rows.alias("o").join(matched.select(*(F.col(f"`{k}`").alias(f"_m{i}") for i, k in enumerate(keys))), reduce(lambda a, b: a & b, [F.col(f"o.`{k}`").eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)]), "left_anti")
@@ -172,15 +188,14 @@ class Dataset:
             counts["updated"] += matched.count()
         kept = rows.where("_keep").select(*schema.names, ROW_ID, "_order")
         for i, extra in enumerate(fresh, 1):
-            added = extra.select(*schema.names).withColumn(ROW_ID, F.monotonically_increasing_id()).withColumn("_order", F.lit(i))
+            added = persist(extra.select(*schema.names).withColumn(ROW_ID, F.monotonically_increasing_id()).withColumn("_order", F.lit(i)), "added")
             counts["inserted"] += added.count()
             kept = kept.unionByName(added)
         options = dict(t["options"]) | ({"sortedBy": sorted_by} if sorted_by is not None else {})
         made = _write_table(self.spark, self.path, name, kept, options, order=["_order", ROW_ID])
         counts["rowCount"] = made["rows"]
         counts["deleted"] = before + counts["inserted"] - made["rows"]
-        self._next({**self.manifest, "tables": {**self.manifest["tables"], name: made}})
-        return counts
+        return made, counts
 
     def _rows(self, rows: Any, schema: T.StructType, order: str | None = None) -> DataFrame:
         """Given rows in the table's schema; unknown columns and nulls in required ones are errors."""
@@ -206,11 +221,16 @@ class Dataset:
     def append(self, name: str, insert: Any = None, upsert: Any = None, key_columns: list[str] | None = None, delete: Any = None) -> dict:
         return self.begin().add(name, insert, upsert, key_columns, delete).commit()[name]
 
+    def lock(self, stale: float = 3600.0) -> Lock:
+        """Hold the dataset's writer lock over several changes: ``with data.lock(): ...``."""
+        return Lock(self.files, stale)
+
     def begin(self) -> Transaction:
         return Transaction(self)
 
     def _append(self, manifest: dict, name: str, insert: Any, upsert: Any, key_columns: list[str] | None, delete: Any) -> dict:
-        t, df = manifest["tables"][name], self.table(name)
+        t = manifest["tables"][name]
+        df = self._read(t)  # without what earlier calls of the transaction delete
         schema, new, gone = T.StructType.fromJson(t["schema"]), [], []
         if delete is not None:
             gone.append(df.where(as_value(delete, df)).select(ROW_ID))
@@ -219,7 +239,7 @@ class Dataset:
             keys = key_columns or []
             if not keys or not set(keys) <= set(schema.names):
                 raise ValidationError("upsert needs key columns of the table")
-            rows = last_per_key(self._rows(upsert, schema, "_place"), keys, "_place")
+            rows = persist(last_per_key(self._rows(upsert, schema, "_place"), keys, "_place"), "upserts")
             hit = df.alias("o").join(rows.select(*(F.col(f"`{k}`").alias(f"_m{i}") for i, k in enumerate(keys))), reduce(lambda a, b: a & b, [F.col(f"o.`{k}`").eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)]), "left_semi")
             replaced = hit.select(*(f"`{k}`" for k in keys)).distinct().count()
             gone.append(hit.select(ROW_ID))
@@ -232,29 +252,29 @@ class Dataset:
             made = _write_rows(self.spark, self.path, name, rows, [c for c in ("_call", "_place") if c in rows.columns])
             added = made["rows"]
             if t["options"].get("sortedBy"):
-                self._check_after(df, f"{self.path}/{made['path']}", schema, t["options"]["sortedBy"])
+                self._check_after(df, self.spark.read.parquet(f"{self.path}/{made['path']}"), t["options"]["sortedBy"])
             if added:
-                segments.append({"path": made["path"], "base": t["next"], "rows": added})
+                segments.append({**made, "base": t["next"]})
         lost = 0
         if gone:
             ids = reduce(lambda a, b: a.unionAll(b), gone).distinct()
             path = f"data/{name}-deletes-{uuid.uuid4().hex}"
-            ids.write.parquet(f"{self.path}/{path}")
-            lost = self.spark.read.parquet(f"{self.path}/{path}").count()
+            lost = _observed(ids, f"{self.path}/{path}")["rows"]
             if lost:
                 deletes.append(path)
         manifest["tables"][name] = {**t, "segments": segments, "deletes": deletes, "next": t["next"] + added, "rows": t["rows"] + added - lost, "deleted": t["deleted"] + lost, "appends": t["appends"] + 1}
         return {"inserted": added - replaced, "updated": replaced, "deleted": lost - replaced, "rowCount": t["rows"] + added - lost}
 
-    def _check_after(self, df: DataFrame, path: str, schema: T.StructType, keys: list) -> None:
-        """Appended rows must sort at or after the last row: their least key against the table's greatest."""
-        if any(isinstance(k, dict) and (k.get("nocase") or k.get("natural")) for k in keys) or any(str(k).startswith("-") for k in keys):
-            return
-        names = [k["column"] if isinstance(k, dict) else k for k in keys]
-        key = F.struct(*(F.struct(F.col(f"`{n}`").isNotNull().alias("h"), F.col(f"`{n}`").alias("v")).alias(f"k{i}") for i, n in enumerate(names)))
-        new = self.spark.read.parquet(path).select(key.alias("k")).agg(F.min("k").alias("k"))
-        if df.select(key.alias("k")).agg(F.max("k").alias("last")).join(new, F.col("k") < F.col("last")).count():
-            raise ValidationError("appended rows must sort at or after the last row")
+    def _check_after(self, df: DataFrame, new: DataFrame, keys: list) -> None:
+        """Appended rows must be in order and sort at or after the table's last row, by the declared keys of any kind."""
+        late = ValidationError("appended rows must sort at or after the last row")
+        if not out_of_order(new, keys).isEmpty():
+            raise late
+        edge = lambda rows, at: rows.orderBy(F.col(ROW_ID).desc() if at < 0 else F.col(ROW_ID)).limit(1)
+        names = [k["column"] if isinstance(k, dict) else k.removeprefix("-") for k in keys]
+        both = edge(df, -1).select(*names, F.lit(0).cast("long").alias(ROW_ID)).unionByName(edge(new, 1).select(*names, F.lit(1).cast("long").alias(ROW_ID)))
+        if not out_of_order(both, keys).isEmpty():
+            raise late
 
     def compact(self, name: str, regroup: bool = False) -> None:
         """Rewrite without deleted rows, in one segment; ``regroup`` puts each partition's rows together."""
@@ -320,12 +340,17 @@ class Dataset:
                 self.files.delete(f"data/{n}")
 
     def verify(self, quick: bool = False) -> list[str]:
-        """Problems found: files that are missing, row counts that differ from the manifest."""
+        """Problems found: files that are missing, segments whose rows or checksum, and tables whose row counts, differ from the manifest."""
         out = []
         for name, t in self.manifest["tables"].items():
             for path in [s["path"] for s in t["segments"]] + t["deletes"]:
                 if not self.files.exists(path):
                     out.append(f"{name}: {path} is missing")
+            for s in [] if quick or out else t["segments"]:
+                rows = self.spark.read.parquet(f"{self.path}/{s['path']}")
+                found = rows.agg(*_digest(rows)).first().asDict()
+                if "checksum" in s and (found["rows"], found["checksum"]) != (s["rows"], s["checksum"]):
+                    out.append(f"{name}: {s['path']} holds other rows than were written")
             if not out and not quick and (n := self.table(name).count()) != t["rows"]:
                 out.append(f"{name}: {n} rows, not {t['rows']}")
         return out
@@ -341,22 +366,77 @@ def _known(column: str, schema: T.StructType) -> bool:
 
 
 def _commit(files: Files, version: int, manifest: dict) -> None:
-    """The manifest appears under its number by one rename; a second writer of that number fails."""
+    """The manifest appears under its number by one rename, under a lock file that one writer at a time can make."""
     name, draft = f"manifest-{version:09d}.json", f"draft-{uuid.uuid4().hex}.json"
-    if files.exists(name):
-        raise ValidationError("the dataset was changed meanwhile")
-    files.write(draft, json.dumps(manifest))
-    if not files.rename(draft, name):
-        files.delete(draft)
-        raise ValidationError("the dataset was changed meanwhile")
+    lock = Lock(files)
+    with lock:
+        if files.exists(name):
+            raise ValidationError("the dataset was changed meanwhile")
+        files.write(draft, json.dumps(manifest))
+        if not files.rename(draft, name):
+            files.delete(draft)
+            raise ValidationError("the dataset was changed meanwhile")
+
+
+class Lock:
+    """The single writer of a dataset: a lock file made exclusively, with its owner; one older than ``stale`` seconds is taken over.
+
+    A writer may hold it over several changes; ``commit`` takes it for itself where the process doesn't hold it yet.
+    """
+
+    _held: dict[str, int] = {}
+
+    def __init__(self, files: Files, stale: float = 3600.0) -> None:
+        self._files, self._stale = files, stale
+
+    def _make(self) -> bool:
+        try:
+            self._files.write("writer.lock", json.dumps({"owner": f"{socket.gethostname()}-{os.getpid()}", "since": time.time()}))
+            return True
+        except Py4JJavaError as e:
+            if self._files.exists("writer.lock"):
+                return False
+            raise e
+
+    def __enter__(self) -> Lock:
+        root = self._files.root
+        if not self._held.get(root):
+            if not self._make():
+                holder = json.loads(self._files.read("writer.lock") or "{}")
+                if time.time() - holder.get("since", 0) < self._stale:
+                    raise ValidationError(f"the dataset is locked by {holder.get('owner')}")
+                self._files.delete("writer.lock")
+                if not self._make():
+                    raise ValidationError("the dataset is locked")
+        self._held[root] = self._held.get(root, 0) + 1
+        return self
+
+    def __exit__(self, *_) -> None:
+        root = self._files.root
+        self._held[root] -= 1
+        if not self._held[root]:
+            del self._held[root]
+            self._files.delete("writer.lock")
+
+
+def _digest(df: DataFrame) -> list:
+    """Aggregates for the number of rows and a checksum that doesn't depend on their order."""
+    plain = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*plain).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum")]
+
+
+def _observed(df: DataFrame, target: str) -> dict:
+    """Write, and count and digest the rows on their way."""
+    seen = Observation()
+    df.observe(seen, *_digest(df)).write.parquet(target)
+    return seen.get
 
 
-def _write_rows(spark: SparkSession, path: str, name: str, df: DataFrame, order: list[str]) -> dict:
+def _write_rows(spark: SparkSession, path: str, name: str, df: DataFrame, order: list) -> dict:
     target = f"data/{name}-{uuid.uuid4().hex}"
-    numbered = with_row_ids(df.withColumnRenamed(ROW_ID, "_old_id") if ROW_ID in df.columns else df, *[("_old_id" if c == ROW_ID else c) for c in order])
+    numbered = with_row_ids(df.withColumnRenamed(ROW_ID, "_old_id") if ROW_ID in df.columns else df, *[("_old_id" if isinstance(c, str) and c == ROW_ID else c) for c in order])
     keep = [c for c in numbered.columns if c not in ("_old_id", "_order", "_place", "_call")]
-    numbered.select(*keep).write.parquet(f"{path}/{target}")
-    return {"path": target, "rows": spark.read.parquet(f"{path}/{target}").count()}
+    return {"path": target, **_observed(numbered.select(*keep), f"{path}/{target}")}
 
 
 def _write_table(spark: SparkSession, path: str, name: str, df: DataFrame, options: dict, order: list[str] | None = None) -> dict:
@@ -364,26 +444,11 @@ def _write_table(spark: SparkSession, path: str, name: str, df: DataFrame, optio
     schema = T.StructType([f for f in df.schema.fields if f.name not in (ROW_ID, "_order", "_place")])
     if order is None:
         if ROW_ID not in df.columns:
-            df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+            df = persist(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "placed")  # the place in the input is fixed before rows move
         order = [ROW_ID]
-    if options.get("sortedBy"):
-        keys = sort_columns(df, options["sortedBy"])
-        made = _write_sorted(spark, path, name, df, keys, order, schema)
-    else:
-        made = _write_rows(spark, path, name, df, order)
-    return {"schema": schema.jsonValue(), "options": options, "segments": [{"path": made["path"], "base": 0, "rows": made["rows"]}], "deletes": [], "next": made["rows"], "rows": made["rows"], "deleted": 0, "appends": 0}
-
-
-def _write_sorted(spark: SparkSession, path: str, name: str, df: DataFrame, keys: list, order: list[str], schema: T.StructType) -> dict:
-    target = f"data/{name}-{uuid.uuid4().hex}"
-    ties = [F.col(c).asc() for c in order]
-    ranged = df.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties).drop(ROW_ID)
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = ranged.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(ROW_ID, F.col("_before") + F.col("_at"))  # broadcast: a row for each partition
-    numbered.select(*schema.names, ROW_ID).write.parquet(f"{path}/{target}")
-    return {"path": target, "rows": spark.read.parquet(f"{path}/{target}").count()}
+    keys = sort_columns(df, options["sortedBy"]) if options.get("sortedBy") else []
+    made = _write_rows(spark, path, name, df, [*keys, *order])
+    return {"schema": schema.jsonValue(), "options": options, "segments": [{**made, "base": 0}], "deletes": [], "next": made["rows"], "rows": made["rows"], "deleted": 0, "appends": 0}
 
 
 class Transaction:
@@ -429,23 +494,45 @@ class Transaction:
 
 
 class GroupWriter:
-    """Many callers' rows in few appends: rows wait until there are ``max_rows`` or ``flush`` is called.
+    """Rows of many callers, from any thread, in few appends.
 
-    A batch that fails is halved, so that only the calls at fault fail.
+    Rows wait until there are ``max_rows``, ``max_delay`` seconds have passed since the first of them, or ``flush`` is
+    called. A batch that fails is halved, so that only the calls at fault fail. ``close`` flushes; so does ``with``.
     """
 
-    def __init__(self, dataset: Dataset, name: str, max_rows: int = 10_000) -> None:
-        self._dataset, self._name, self._most, self._calls = dataset, name, max_rows, []
+    def __init__(self, dataset: Dataset, name: str, max_rows: int = 10_000, max_delay: float | None = None) -> None:
+        self._dataset, self._name, self._most, self._delay = dataset, name, max_rows, max_delay
+        self._calls: list[list[dict]] = []
+        self._guard, self._writing, self._timer = threading.Lock(), threading.Lock(), None
         self.failed: list[tuple[list[dict], Exception]] = []
 
     def insert(self, rows: Iterable[dict]) -> None:
-        self._calls.append(list(rows))
-        if sum(map(len, self._calls)) >= self._most:
+        with self._guard:
+            self._calls.append(list(rows))
+            full = sum(map(len, self._calls)) >= self._most
+            if not full and self._delay is not None and self._timer is None:
+                self._timer = threading.Timer(self._delay, self.flush)
+                self._timer.daemon = True
+                self._timer.start()
+        if full:
             self.flush()
 
     def flush(self) -> None:
-        calls, self._calls = self._calls, []
-        self._try(calls)
+        with self._writing:
+            with self._guard:
+                calls, self._calls = self._calls, []
+                if self._timer is not None:
+                    self._timer.cancel()
+                    self._timer = None
+            self._try(calls)
+
+    close = flush
+
+    def __enter__(self) -> GroupWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _try(self, calls: list[list[dict]]) -> None:
         if not calls:

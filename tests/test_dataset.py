@@ -132,3 +132,113 @@ def test_grants_and_masks(spark):
     assert [(r.card, r.mail) for r in shown] == [("00000000", "j••••@example.org"), ("00", None), ("XXxx-00", "a@b")]
     with pytest.raises(PermissionError):
         access.view(df, policy, access.Grant(expires=dt.datetime(2020, 1, 1)))
+
+
+def test_row_ids_of_many_wide_rows(spark):
+    """Adaptive execution cuts wide and narrow rows differently; ids must not depend on that."""
+    from pyspark.sql import functions as F
+
+    from tabulon.operators.orders import with_row_ids
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(0, 1_000_000, 1, 16).select(F.xxhash64("id").alias("k"), "id", *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512).alias(f"w{i}") for i in range(2)))
+        got = with_row_ids(df, "k", "id").select("k", ROW_ID)
+        n, distinct, least, most = got.agg(F.count(F.lit(1)), F.count_distinct(ROW_ID), F.min(ROW_ID), F.max(ROW_ID)).first()
+        assert (n, distinct, least, most) == (1_000_000, 1_000_000, 0, 999_999)
+        after = got.select((F.col(ROW_ID) - 1).alias(ROW_ID), F.col("k").alias("next"))
+        assert got.join(after, ROW_ID).where("next < k").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_two_streams_into_one_table(spark, tmp_path, data):
+    for i in (1, 2):
+        source = str(tmp_path / f"in{i}")
+        spark.createDataFrame([(100 + i, "s", 1.0)], "id long, name string, v double").write.parquet(source)
+        stream = spark.readStream.schema("id long, name string, v double").parquet(source)
+        for _ in range(2):  # the second start of the same stream adds nothing
+            append_stream(stream, data.path, "t", str(tmp_path / f"k{i}")).awaitTermination()
+    assert sorted(r.id for r in data.refresh().table("t").collect() if r.id and r.id > 100) == [101, 102]
+
+
+def test_transaction_with_overlapping_deletes(spark, tmp_path):
+    d = Dataset.create(spark, str(tmp_path / "o"), {"t": spark.range(10).withColumnRenamed("id", "k")})
+    got = d.begin().add("t", delete={"k": {"lt": 5}}).add("t", delete={"k": {"lt": 7}}).add("t", upsert=[{"k": 8}], key_columns=["k"]).commit()["t"]
+    assert got == {"inserted": 0, "updated": 1, "deleted": 7, "rowCount": 3}
+    assert d.verify() == [] and sorted(r.k for r in d.table("t").collect()) == [7, 8, 9]
+
+
+def test_random_calls_against_plain_python(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    d = Dataset.create(spark, str(tmp_path / "r"), {"t": spark.createDataFrame([(i % 7, i) for i in range(20)], "k long, v long").coalesce(1)})
+    plain = [(i % 7, i) for i in range(20)]
+    for step in range(8):
+        k, low = rng.randrange(9), rng.randrange(30)
+        match rng.choice(["append", "update", "transaction", "compact"]):
+            case "append":
+                d.append("t", insert=[{"k": k, "v": 100 + step}], delete={"v": {"lt": low % 10}})
+                plain = [r for r in plain if r[1] >= low % 10] + [(k, 100 + step)]
+            case "update":
+                d.update("t", upsert=[{"k": k, "v": 200 + step}], key_columns=["k"])
+                first = next((i for i, r in enumerate(plain) if r[0] == k), None)
+                rest = [r for i, r in enumerate(plain) if r[0] != k or i == first]
+                plain = [(k, 200 + step) if r[0] == k else r for r in rest] if first is not None else [*plain, (k, 200 + step)]
+            case "transaction":
+                d.begin().add("t", delete={"k": k}).add("t", upsert=[{"k": (k + 1) % 9, "v": 300 + step}], key_columns=["k"]).commit()
+                plain = [r for r in plain if r[0] not in (k, (k + 1) % 9)] + [((k + 1) % 9, 300 + step)]
+            case _:
+                d.compact("t")
+        assert rows(d.table("t"), "k", "v") == plain, step
+    assert d.verify() == []
+
+
+def test_several_tables_in_one_version_lock_and_checksums(spark, tmp_path):
+    d = Dataset.create(spark, str(tmp_path / "m"), {"a": spark.range(3), "b": spark.range(4)})
+    version = d.version
+    got = d.update_tables({"a": {"insert": [{"id": 9}]}, "b": {"delete": {"id": 0}}})
+    assert d.version == version + 1 and got["a"]["rowCount"] == 4 and got["b"]["deleted"] == 1
+    d.files.write("writer.lock", '{"owner": "another", "since": 4102444800}')
+    with pytest.raises(ValidationError, match="locked by another"):
+        d.append("a", insert=[{"id": 10}])
+    d.files.write("writer.lock", '{"owner": "another", "since": 0}', True)
+    d = d.refresh()
+    d.append("a", insert=[{"id": 10}])
+    with d.lock():
+        d.append("a", insert=[{"id": 11}])
+        d.append("b", insert=[{"id": 12}])
+    assert not d.files.exists("writer.lock") and d.verify() == []
+    wrong = d.manifest["tables"]["a"]["segments"][0]["path"]
+    spark.range(4).selectExpr("id + 1 as id", "id as _row_id").write.mode("overwrite").parquet(f"{d.path}/{wrong}")
+    assert len(d.verify()) == 1
+
+
+@pytest.mark.parametrize("keys,good,bad", [(["-id"], 1, 9), ([{"column": "name", "natural": True}], 10, 1), (["id"], 9, 0)])
+def test_appends_keep_declared_orders_of_any_kind(spark, tmp_path, keys, good, bad):
+    df = spark.createDataFrame([(i, f"a{i}") for i in (2, 5, 3)], "id long, name string")
+    d = Dataset.create(spark, str(tmp_path / "s"), {"t": df}, {"t": {"sortedBy": keys}})
+    with pytest.raises(ValidationError):
+        d.append("t", insert=[{"id": bad, "name": f"a{bad}"}])
+    d.append("t", insert=[{"id": good, "name": f"a{good}"}])
+    assert rows(d.table("t"), "id")[-1] == (good,)
+
+
+def test_group_writer_of_many_threads_and_a_delay(data):
+    import threading
+    import time
+
+    w = GroupWriter(data, "t", max_rows=1000, max_delay=0.5)
+    threads = [threading.Thread(target=w.insert, args=([{"id": 500 + i}],)) for i in range(12)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for _ in range(150):
+        if data.refresh().table("t").where("id >= 500").count() == 12:
+            break
+        time.sleep(0.2)
+    w.close()
+    assert not w.failed and data.refresh().table("t").where("id >= 500").count() == 12
