@@ -7,13 +7,15 @@ with u uniform and odds u / (1 - u), documents are ranked by their random odds o
 ``odds``, if a column of relative odds is given, for unequal probabilities within a source), and are taken in that
 order until the words that are left are used up; the document at the edge is taken if at least half of it fits.
 
-The edge is found by radix: sums for each source and one of ``CELLS`` cells of the rank, then for the edge's cell
-alone its sub-cells, then the few rows of the last cell in order. Sums are partial before each shuffle, so no task
-sees all rows of a source. u comes from a hash of seed, id and text, so reruns agree however the input is cut.
+Rows equal in source, id and text have one u and one rank; they are first summed up to one with a count, so that any
+number of them is one place in the order, of which as many are taken as fit. The edge is found by radix: sums for each
+source and one of ``CELLS`` cells of the rank, then for the edge's cell alone its sub-cells, then the few ranks of the
+last cell in order. Sums are partial before each shuffle, so no task sees all rows of a source. u comes from a hash of
+seed, id and text, so reruns agree however the input is cut.
 
 Nulls: a null source is a source of its own, ordered last; a null text has size 0 and is never more than 0 words;
-a null doc_id hashes as an empty one. Rows equal in id and text tie; any of them is as good as the other. Sources of
-size 0 have target 0. An empty table gives no row. Other input columns are ignored.
+a null doc_id hashes as an empty one. Of rows equal in id and text any is as good as the other. Sources of size 0 have
+target 0. An empty table gives no row. Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,39 +90,66 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         found = with_source(sums, want).withColumn("upto", upto).where("upto > wanted")
         return found.groupBy("n").agg(F.min(by).alias("edge"), F.min_by(F.col("wanted") - F.col("upto") + F.col("words"), by).alias("wanted"))
 
-    active = keyed.where("rank is not null")
+    ranked = keyed.where("rank is not null")
+    same = ["n", "rank", "doc_id", "tie", "cell", "sub"]
+    active = ranked.groupBy(*same).agg(F.min("size").alias("each"), F.count(F.lit(1)).alias("times"), F.sum("size").alias("size"))
     first = persist(edge(active, "cell", wanted), "edge")
     inner = with_source(active, first).where("cell = edge").drop("edge", "wanted")
     second = persist(edge(inner, "sub", first.select("n", "wanted")), "edge")
     last = with_source(inner, second).where("sub = edge")
-    upto = F.sum("size").over(Window.partitionBy("n").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = last.withColumn("upto", upto)
-    # the edge document in doubt: the last of those that fit by half
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("n").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # of equal rows those are taken of which at least half fits, in one place of the order after the other
+    fit = F.greatest(F.lit(0), F.least("times", F.floor((F.col("wanted") - F.col("before")) / F.col("each") + 0.5)))
+    last = last.withColumn("before", before).withColumn("fit", F.when(F.col("each") > 0, fit).when(F.col("before") <= F.col("wanted"), F.col("times")).otherwise(0))
     edges = first.select("n", F.col("edge").alias("edge1")).join(second.select("n", F.col("edge").alias("edge2")), "n", "left")
-    fits = last.where("upto - size / 2 <= wanted").groupBy("n").agg(F.max(F.struct("rank", "doc_id")).alias("limit"), F.count(F.lit(1)).alias("fit"))
-    table = persist(edges.join(fits, "n", "left"), "limits")
+    place = F.struct("rank", "doc_id", "tie")
+    # where the order is cut: the last place of which some row is taken, and how many rows of it
+    cut = last.where("fit > 0").groupBy("n").agg(F.max(F.struct("rank", "doc_id", "tie", "fit", "times")).alias("cut"))
+    table = persist(edges.join(cut, "n", "left"), "limits")
     out = with_source(keyed, table)
-    within = F.col("limit").isNotNull() & (F.struct("rank", "doc_id") <= F.col("limit"))
-    extra = (
+    limit = F.struct(F.col("cut.rank").alias("rank"), F.col("cut.doc_id").alias("doc_id"), F.col("cut.tie").alias("tie"))
+    code = (
         F.when(F.col("rank").isNull(), 0)
         .when(F.col("edge1").isNull() | (F.col("cell") < F.col("edge1")), 1)
         .when(F.col("cell") > F.col("edge1"), 0)
         .when(F.col("edge2").isNull() | (F.col("sub") < F.col("edge2")), 1)
         .when(F.col("sub") > F.col("edge2"), 0)
-        .otherwise(F.coalesce(within, F.lit(False)).cast("int"))
+        .when(F.col("cut").isNull() | (place > limit), 0)
+        .when((place < limit) | (F.col("cut.fit") == F.col("cut.times")), 1)
     )
-    copies = (F.col("whole") + extra).cast("int")
-    return out.select("doc_id", "tie", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    out = out.withColumn("extra", code)
+    # the rows of the place at the cut itself, if only some of them are taken: numbered by their place in the input, cell by cell
+    split = persist(out.where("extra is null").withColumn("at", F.monotonically_increasing_id()), "split")
+    cells = split.groupBy("n", F.shiftright("at", 13).alias("block")).agg(F.count(F.lit(1)).alias("rows"))
+    ahead = F.sum("rows").over(Window.partitionBy("n").orderBy("block")) - F.col("rows")
+    blocks = persist(cells.select("n", "block", ahead.alias("ahead")), "blocks")
+    number = F.row_number().over(Window.partitionBy("n", "block").orderBy("at"))
+    settled = split.withColumn("block", F.shiftright("at", 13)).join(blocks, ["n", "block"]).withColumn("extra", (F.col("ahead") + number <= F.col("cut.fit")).cast("int"))
+    names = [c for c in out.columns]
+    everything = out.where("extra is not null").unionByName(settled.select(*names))
+    copies = (F.col("whole") + F.col("extra")).cast("int")
+    return everything.select("doc_id", "tie", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def with_copies(docs: DataFrame, **options) -> DataFrame:
     """Each row of ``docs`` as the struct ``row``, and ``copies``, how often the mix takes it; rows that it doesn't take are left out.
 
-    Rows equal in id, text and source tie, so those that the mix takes as often are as good as any other of them.
+    Rows equal in id, text and source tie, so those that the mix takes as often are as good as any other of them: of a
+    tie's rows the first ones get the larger number of copies. A tie's numbers are two at most, one apart.
     """
-    found = mix(docs, **options).groupBy("tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("each"))
+    found = mix(docs, **options).groupBy("tie").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.count(F.lit(1)).alias("times"), F.sum("copies").alias("all"))
+    found = persist(found.withColumn("more", F.col("all") - F.col("least") * F.col("times")), "copies")
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(doc, doc.isNull(), text, F.col("source").cast("string")).alias("tie"))
-    place = F.row_number().over(Window.partitionBy("tie").orderBy("tie")) - 1
-    rows = keyed.join(found, "tie").withColumn("copies", F.get("each", place))
-    return rows.where("copies > 0").select("row", "copies")
+    plain = keyed.join(found.where("least = most and most > 0").select("tie", F.col("least").alias("copies")), "tie").select("row", "copies")
+    # ties that are taken unevenly: one in a source at most, as only its cut divides equal rows
+    odd = found.where("least < most").select("tie", "least", "more")
+    if odd.isEmpty():
+        return plain
+    uneven = persist(keyed.join(F.broadcast(odd) if odd.count() <= BROADCAST_SOURCES else odd, "tie").withColumn("at", F.monotonically_increasing_id()), "uneven")
+    cells = uneven.groupBy("tie", F.shiftright("at", 13).alias("block")).agg(F.count(F.lit(1)).alias("rows"))
+    ahead = F.sum("rows").over(Window.partitionBy("tie").orderBy("block")) - F.col("rows")
+    number = F.row_number().over(Window.partitionBy("tie", "block").orderBy("at"))
+    dealt = uneven.withColumn("block", F.shiftright("at", 13)).join(persist(cells.select("tie", "block", ahead.alias("ahead")), "blocks"), ["tie", "block"])
+    dealt = dealt.select("row", (F.col("least") + (F.col("ahead") + number <= F.col("more")).cast("int")).cast("int").alias("copies"))
+    return plain.unionByName(dealt.where("copies > 0"))

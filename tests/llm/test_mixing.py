@@ -58,3 +58,19 @@ def test_odds_favour_rows_and_edges(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     nothing = mixing.mix(spark.createDataFrame([(1, None, None), (2, " ", "x")], "doc_id long, text string, source string")).collect()
     assert [r.taken for r in nothing] == [0, 0] and [r.target for r in nothing] == [0, 0]
+
+
+def test_many_repeated_rows_come_near_the_target(spark):
+    text = "w " * 8
+    rows = [(1, text, "a")] * 1000 + [(2, text, "b")] * 1000 + [(10 + i, text, "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).toPandas()
+    for source, part in got.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 8, source
+        assert (part.taken <= 2 * part["size"]).all()
+    again = mixing.mix(df.repartition(3)).toPandas()
+    by = ["doc_id", "taken"]
+    assert (got[by].sort_values(by).to_numpy() == again[by].sort_values(by).to_numpy()).all()
+    copies = mixing.with_copies(df).select("row.doc_id", "copies").toPandas()
+    want = got[got.copies > 0]
+    assert (copies.sort_values(["doc_id", "copies"]).to_numpy() == want[["doc_id", "copies"]].sort_values(["doc_id", "copies"]).to_numpy()).all()
