@@ -1,19 +1,20 @@
 """Two-pass external shuffle into shards of equal row counts.
 
-First pass: rows are scattered uniformly over buckets by a seeded hash of id, text and place in the input, and written
-to the shared folder. Buckets are sized to fit a task's memory. Second pass: a task reads one bucket after the other,
+First pass: rows are scattered uniformly over buckets by a seeded hash of id and text and written to the shared folder,
+so that the same seed gives the same shuffle however the input is cut. Rows that repeat in id and text would all meet
+in one bucket; only for those the place in the input takes part in the hash. Buckets are sized to fit a task's memory. Second pass: a task reads one bucket after the other,
 puts it into a canonical order, Fisher-Yates shuffles it with the bucket's own seed, and numbers its rows from the
 bucket's place in the whole. The shuffled order is cut into runs of equal length: shard ``p * shards // rows``.
 
-Law ``rows``: shard sizes differ by one at most. The place in the input takes part in the hash, so rows that repeat,
-share an id or have none spread like all others. Both passes see the written scatter, so a lost executor changes
+Law ``rows``: shard sizes differ by one at most. Rows that repeat spread like all others. Both passes see the written scatter, so a lost executor changes
 nothing. Nulls in any column are carried; an empty or null text is as good as another; texts of any length are single
-rows. Input columns are kept, but for those named like the outputs ``bucket``, ``shard`` and ``slot``, which are
-replaced. An empty table gives no row.
+rows. Input columns are kept, but for those named like the outputs ``shard`` and ``slot``, which are replaced. An empty
+table gives no row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,11 +80,14 @@ def _shuffled(seed: int):
 
 def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``doc_id`` and ``text``, all columns, and ``shard int`` and ``slot long``."""
-    docs = docs.drop("bucket", "shard", "slot", "begin", "scatter")
     bytes_, = docs.agg(F.sum(utf8_size(F.col("text")) + ROW_BYTES)).first()
     buckets = max(1, -(-(bytes_ or 0) // bucket_bytes))
-    scatter = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.monotonically_increasing_id())
-    rows = persist(docs.withColumn("scatter", scatter).withColumn("bucket", F.pmod("scatter", F.lit(buckets))), "scatter")
+    hashed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("hash"))
+    # written first, so that its true size decides whether it is broadcast
+    repeated = persist(hashed.groupBy("hash").count().where("count > 1").select("hash", F.lit(True).alias("repeats")), "repeated")
+    scatter = F.when(F.col("repeats"), F.xxhash64("hash", F.monotonically_increasing_id())).otherwise(F.col("hash"))
+    rows = hashed.join(repeated, "hash", "left").select("row", scatter.alias("scatter"))
+    rows = persist(rows.withColumn("bucket", F.pmod("scatter", F.lit(buckets))), "scatter")
 
     counts = rows.groupBy("bucket").count().withColumn("grp", F.floor(F.col("bucket") / GROUP))
     groups = counts.groupBy("grp").agg(F.sum("count").alias("total"))
@@ -93,16 +97,17 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byte
     total = rows.count()
 
     # a task gets about TASK_BUCKETS buckets, however many there are
-    dealt = rows.repartition(-(-buckets // TASK_BUCKETS), "bucket").join(begins, "bucket").sortWithinPartitions("bucket", "scatter", "doc_id")
+    dealt = rows.repartition(-(-buckets // TASK_BUCKETS), "bucket").join(begins, "bucket").sortWithinPartitions("bucket", "scatter")
     mixed = dealt.mapInArrow(_shuffled(seed), dealt.schema)
     # whole numbers throughout: shard s begins at the place ceil(s * total / shards)
     shard = f"((begin * {shards}L) div {max(total, 1)}L)"
     slot = f"begin - (({shard} * {total}L + {shards - 1}L) div {shards}L)"
-    return mixed.withColumn("shard", F.expr(shard).cast("int")).withColumn("slot", F.expr(slot).cast("long")).drop("begin", "scatter", "bucket")
+    mixed = mixed.select("row", F.expr(shard).cast("int").alias("shard"), F.expr(slot).cast("long").alias("slot"))
+    return mixed.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str | None = None, **options) -> str:
-    """Write the shuffled shards as one Parquet folder for each; returns the path."""
-    path = path or f"{shared_dir(docs.sparkSession)}/shards"
-    shuffle(docs, **options).write.partitionBy("shard").parquet(path)
+    """Write the shuffled shards as one Parquet folder for each, every file in the order of its slots; returns the path, a new one by default."""
+    path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    shuffle(docs, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
