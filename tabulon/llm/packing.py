@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import persist
+from tabulon.llm.common import bounded, persist
 
 #: Partitions whose leftovers meet in one task.
 FAN = 64
@@ -41,9 +41,11 @@ class Encoder:
     The pre-tokenizer never joins what stands before a single blank to what stands after it, so a text without runs
     of white space is encoded blank by blank and the ids of frequent chunks are kept. The byte-pair merges come from
     the rank file of the same vocabulary, which gives the ids of ``byte_bpe_50k.json`` several times faster.
+    ``added``: tokens and their ids that a text is cut at first, as the tokenizer does with its added tokens; without
+    them such strings are ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> None:
         import base64
 
         import tiktoken
@@ -52,12 +54,21 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encode = tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        self._added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        longest = sorted(self._added, key=len, reverse=True)  # of two that begin alike the longer one
+        self._cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def _ids(self, text: str) -> bytes:
         ids = self._encode(text)
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def __call__(self, text: str) -> bytes:
+        if self._cuts is None or not any(t in text for t in self._added):
+            return self._plain(text)
+        parts = self._cuts.split(text)
+        return b"".join(self._added[x] if i % 2 else self._plain(x) for i, x in enumerate(parts) if x)
+
+    def _plain(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._ids(text)
         first, *rest = text.split(" ")
@@ -139,19 +150,19 @@ def _prefix(level: int, part: int) -> int:
     return level << 58 | part << 30
 
 
-def pack(docs: DataFrame, tokenizer_file, capacity: int = CAPACITY, open_windows: int = OPEN_WINDOWS, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file, capacity: int = CAPACITY, open_windows: int = OPEN_WINDOWS, end_id: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer_file``: (rank file, pre-tokenizer pattern). The first pass is written to the shared folder, so
+    ``tokenizer_file``: (rank file, pre-tokenizer pattern). ``added``: tokens with ids of their own, as text. The first pass is written to the shared folder, so
     tokenizing happens once; later rounds touch leftovers only.
     """
     ranks, pattern = tokenizer_file
     end = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(ranks, pattern), TaskContext.get().partitionId()
+        encode, part = Encoder(ranks, pattern, added), TaskContext.get().partitionId()
         windows = Windows(capacity, open_windows, _prefix(0, part), part)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end if text else end
                 windows.add(doc, 0, ids, len(ids) >> 2)

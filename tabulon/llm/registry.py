@@ -23,12 +23,22 @@ def tokenizer_file() -> tuple[str, str]:
     return public_tokenizers.path(BPE.replace(".json", ".tiktoken")), public_tokenizers.PATTERN
 
 
+def added_tokens() -> dict[str, int]:
+    """The vocabulary's added tokens, whose strings in a text are one id each."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(BPE), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), added=added_tokens())
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
