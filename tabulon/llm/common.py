@@ -2,62 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from tabulon.sources.scratch import persist, shared_dir  # noqa: F401
 
 #: ASCII white space; everything between is a word.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tabulon-"))
-    return f"{base.rstrip('/')}/tabulon-{spark.sparkContext.applicationId}"
-
-
-_LOCAL: dict[str, str] = {}
-_WRITTEN: dict[str, SparkSession] = {}
-
-
-def _delete(path: str, spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _tidy() -> None:
-    for path, spark in _WRITTEN.items():
-        try:
-            _delete(path, spark)
-        except Exception:  # the session may have ended before the interpreter
-            return
-
-
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, a lost executor costs nothing."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    _WRITTEN[root] = spark
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def binaries(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -85,21 +42,40 @@ def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20)
             yield batch.slice(a, b - a)
 
 
+#: A node of a graph with over one in ``SHARE`` of all edges is a hub; so there are ``SHARE`` of them at most.
+SHARE = 2000
+#: Edges up to which hubs need no care: any task can hold them all.
+FEW = 200_000
+
+
+def _with_least(edges: DataFrame, name: str, few: bool) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the least of u and its neighbours; hubs are broadcast, so that their edges stay where they are."""
+    if few:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+    least = persist(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), name)
+    most = max(1, (least.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("h")))  # broadcast: SHARE rows at most
+    marked = edges.join(hubs, "u", "left")
+    others = marked.where("h is null").drop("h").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("h is not null").withColumnRenamed("h", "m").unionByName(others)
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """Components of undirected ``edges(a long, b long)``: a row ``(node, root)`` for each node, root its component's least node.
 
     Alternating large-star and small-star steps until nothing changes. Each step groups with partial sums and joins
-    by node, and is written to the shared folder. Empty edges give an empty result; null ends are not nodes.
+    by node, hubs apart, and is written to the shared folder. Empty edges give an empty result; null ends are not nodes.
     """
     one = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = persist(one, name), None
+    few = now.count() <= FEW  # the steps never add edges
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        now = persist(small, name)
+        large = _with_least(both, f"{name}-least", few).where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = large if few else persist(large, f"{name}-large")
+        small = _with_least(large.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-least", few).where("u > v")
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        now = persist(small.distinct(), name)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import binaries
+from tabulon.llm.common import binaries, bounded
 
 RATE, FRAME, HOP, UNIT = 8000, 256, 128, 64
 #: Bins where bands begin; the last ends at FRAME / 2.
@@ -96,7 +96,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to sizes and hashes of payload and WAV, the pairs' ``times`` and ``codes``, and with ``keep_media`` the WAV bytes as ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             rows = []
             for text in binaries(batch.column(1)):
                 media = to_wav(payload_of(text))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import binaries, connected, persist
+from tabulon.llm.common import binaries, bounded, connected, persist
 
 SEED = 42
 #: Members from which an upper node is refined.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, fp long)``; fp holds the unsigned fingerprint's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             fps = np.array([fingerprint(x, shingle) for x in binaries(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
@@ -328,12 +328,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     keyed = docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             fps = [wide_fingerprint(shingle_hashes(x, shingle)) for x in binaries(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[w] for x in fps], pa.int64()) for w in (0, 1))], names=["tie", "f1", "f2"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x, shingle).view(np.int64) for x in binaries(batch.column(1))], pa.list_(pa.int64()))], names=["tie", "set"])
 
     texts = keyed.select("tie", "text")
