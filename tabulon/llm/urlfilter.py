@@ -9,7 +9,8 @@ a rule matches if all its tokens are there. A page that no rule matches is allow
 At most ``SAMPLE`` labelled pages are mined, taken by a hash of the id, each with all its tokens. Tokens that are rarer
 among pages labelled bad than the support are in no rule and are left out. Tokens that the same labelled pages have, as
 the keys of one form of query, are mined as one: a rule with two of them says no more than with either, so each rule
-stands for those with another of the same pages' tokens in its place. The support bounds the number of rules.
+stands for those with another of the same pages' tokens in its place. The support bounds the number of rules; it is
+that of ``LEAST`` bad pages at least, as fewer prove nothing.
 
 Nulls: a null url, or one without ``://``, has empty host and path and no tokens, and is allowed. Labels that are null
 are not mined. Repeated rows are judged alike. An empty table gives no row; without labels there are no rules.
@@ -26,7 +27,7 @@ from tabulon.llm.common import persist
 #: Verdict, host and path of the rules that come before the method's.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SAMPLE = 200_000
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
+MIN_SUPPORT, MIN_CONFIDENCE, LEAST = 0.002, 0.5, 5
 BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,7 +67,7 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, least: int = LEAST) -> DataFrame:
     """Rules ``(tokens, support, confidence)``; labels speak of the page whose id is their doc_id, 0 in ``quality`` is bad."""
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     known = pages.join(some, pages.page_id == some.doc_id).select(tokens_of(F.col("url")).alias("tokens"), "quality").where(F.size("tokens") > 0)
@@ -74,6 +75,7 @@ def mine(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_support:
     total = known.count()
     if not total:
         return known.select("tokens", F.lit(0.0).alias("support"), F.lit(0.0).alias("confidence"))
+    min_support = max(min_support, min(1.0, least / total))
     each = known.select("row", "quality", F.explode("tokens").alias("token"))
     same = F.struct(*(F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"x{i}") for i in (0, 1)), F.count(F.lit(1)).alias("n"))
     often = each.groupBy("token").agg(F.count(F.when(F.col("quality") == 0, 1)).alias("bad"), same.alias("same")).where(F.col("bad") >= min_support * total)
