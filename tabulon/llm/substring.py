@@ -3,15 +3,19 @@
 The reference is the corpus itself, cut into blocks: in each window of ``WINDOW`` words the shingle of ``GRAM`` words
 with the least hash is its anchor, and the words around one anchor, up to ``WINDOW - GRAM + 1`` windows, are a block.
 Equal windows have equal anchors, so an anchor that occurs once proves that its windows are new; the index therefore
-keeps the blocks of repeated anchors only, dealt by anchor. A document is parsed against every indexed block with its
-anchors, in document order: each window is looked up at its earliest place, and a factor goes on as long as the next
-window continues at the next place of the same earlier document. Factors of ``WINDOW`` words or more are duplicate
-spans. Every window is looked up by itself, so those across the boundary of two factors are checked too, and the
-spans cover just the words of windows that also start earlier.
+keeps the blocks of repeated anchors only, dealt by anchor. Each document's blocks are looked up there, window by window,
+at the window's earliest place. The document is then factored from left to right: a factor begins at the first window
+with an earlier place and goes on, over the ends of blocks, as far as the next window's earliest place is the next one
+of the same earlier document; between factors are literal words. Factors of ``WINDOW`` words or more are duplicate
+spans. Every window was looked up by itself, so those across the boundary of two factors are checked too, and the spans
+cover just the words of windows that also start earlier.
 
 Anchors with over ``HOT`` occurrences don't meet in one task: documents are salted so that about ``HOT`` meet, each
-such group parses by itself, and only the first place of each window in a group goes on to a second parse by window.
-A factor then may point at an earlier place other than the earliest.
+such group is looked up by itself, and only the first place of each window in a group goes on to a second look-up by
+window. A factor then may point at an earlier place other than the earliest.
+
+A window's identity is 64 bits of its anchor and 64 of the window: among n different windows under one anchor the
+chance that any two are taken for equal is about n * n / 2 ** 65, that is 0.03 for a billion of them.
 
 Order: smaller doc_id first, null before all, ties by a hash of the text, then by place in the text. Rows equal in
 doc_id and text are one document listed twice and get the same result. A null or empty text has no words; texts under
@@ -159,7 +163,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor, salt and place, to factors: n windows from ``start`` that also begin at ``ref_start`` of ``ref``.
+    """Runs sorted by anchor, salt and place, to matches: n windows from ``start`` that also begin at ``ref_start`` of ``ref``.
 
     Under a salt, a window's first place is still open: it goes on with n = 0, keyed by anchor and tag.
     """
@@ -192,7 +196,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors pass; of open windows, sorted by anchor, tag and place, all but the first become factors."""
+    """Matches pass; of open windows, sorted by anchor, tag and place, all but the first become matches."""
     now = first = None
     for batch in batches:
         out = []
@@ -207,17 +211,39 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(out)
 
 
+def greedy(matches: list[dict]) -> list[tuple[int, int, int, int]]:
+    """The factors of one document, from left to right: (start, n, ref, ref_start) of n windows each.
+
+    ``matches`` are its windows with an earlier place, in runs within blocks; a factor takes all that go on from it.
+    """
+    out: list[list[int]] = []
+    for m in sorted(matches, key=lambda m: m["start"]):
+        if out and m["start"] == out[-1][0] + out[-1][1] and m["ref"] == out[-1][2] and m["ref_start"] == out[-1][3] + out[-1][1]:
+            out[-1][1] += m["n"]
+        else:
+            out.append([m["start"], m["n"], m["ref"], m["ref_start"]])
+    return [tuple(f) for f in out]
+
+
+def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, tie and its matches, to its factors."""
+    for batch in batches:
+        rows = [(doc, tie, *f) for doc, tie, matches in zip(*(c.to_pylist() for c in batch.columns), strict=True) for f in greedy(matches)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["doc", "tie", "start", "n", "ref", "ref_start"])
+
+
 def _cut(window: int):
-    """doc, tie, text and the factors found in it, to the words removed and a hash of those kept."""
+    """doc, tie, text and the matches found in it, to the words removed and a hash of those kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 2):
             removed, shas = [], []
-            for text, factors in zip(binaries(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            for text, matches in zip(binaries(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 drop = bytearray(len(words))
-                for f in factors:
-                    drop[f["start"] : f["start"] + f["n"] + window - 1] = b"\1" * (f["n"] + window - 1)
+                for start, n, _, _ in greedy(matches):
+                    drop[start : start + n + window - 1] = b"\1" * (n + window - 1)
                 kept = [w for w, gone in zip(words, drop, strict=True) if not gone]
                 removed.append(len(words) - len(kept))
                 shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -236,8 +262,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return _keys(docs).select("doc", "tie", "text").repartition("doc", "tie")
 
 
-def factors(docs: DataFrame, prepared: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Factors of all documents: doc, tie, start, n, ref, ref_start; ``n + window - 1`` words from ``start`` on."""
+def matches(docs: DataFrame, prepared: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """For each document with any, its windows with an earlier place: doc, tie, and ``matches(start, n, ref, ref_start)`` in runs."""
     counts = prepared.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1")
     salts = F.ceil(F.col("count") / hot).cast("int")
     mine = prepared.select("doc", "tie", F.explode(F.array_distinct("anchors")).alias("anchor")).join(counts.select("anchor", salts.alias("salts")), "anchor")
@@ -245,14 +271,18 @@ def factors(docs: DataFrame, prepared: DataFrame, window: int = WINDOW, gram: in
     runs = _texts(docs).join(mine, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_blocks(window, gram), _RUNS)
     parsed = runs.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "tie", "start").mapInArrow(_parse, _FACTORS)
     settled = parsed.repartition("key", "tag").sortWithinPartitions("key", "tag", "doc", "tie", "start").mapInArrow(_settle, _FACTORS)
-    return settled.drop("key", "tag")
+    return settled.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "ref", "ref_start")).alias("matches"))
+
+
+def factors(docs: DataFrame, prepared: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """Factors of all documents: doc, tie, start, n, ref, ref_start; ``n + window - 1`` words from ``start`` on."""
+    return matches(docs, prepared, window, gram, hot).mapInArrow(_factored, "doc long, tie long, start int, n int, ref long, ref_start int")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, n_removed, kept_sha256)``."""
     prepared = prepare(docs, window, gram)
-    spans = factors(docs, prepared, window, gram, hot).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("factors"))
-    cut = _texts(docs).join(spans, ["doc", "tie"]).select("doc", "tie", "text", "factors").mapInArrow(_cut(window), "doc long, tie long, n_removed long, kept string")
+    cut = _texts(docs).join(matches(docs, prepared, window, gram, hot), ["doc", "tie"]).select("doc", "tie", "text", "matches").mapInArrow(_cut(window), "doc long, tie long, n_removed long, kept string")
     cut = cut.dropDuplicates(["doc", "tie"])
     found = prepared.drop("anchors").join(cut, ["doc", "tie"], "left")
     return found.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))

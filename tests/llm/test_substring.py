@@ -93,3 +93,35 @@ def test_windows_that_differ_in_low_bits_only_are_not_equal(monkeypatch):
     rows = pa.Table.from_batches(substring._blocks(substring.WINDOW, substring.GRAM)(iter([batch])))
     rows = rows.sort_by([(c, "ascending") for c in ("anchor", "salt", "doc", "tie", "start")])
     assert sum(b.num_rows for b in substring._parse(iter(rows.to_batches()))) == 0
+
+
+def test_factors_against_a_plain_greedy_parse(spark):
+    rows = [r for r in corpus(5) if r[0] is not None]
+    rows = sorted(dict(rows).items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((f.doc, f.start, f.n, f.ref, f.ref_start) for f in substring.factors(df, substring.prepare(df)).collect())
+    first, want = {}, []
+    for d, t in rows:
+        words, factor = (t or "").split(), None
+        for i in range(len(words) - 19):
+            place = first.setdefault(tuple(words[i : i + 20]), (d, i))
+            if place == (d, i):
+                factor = None
+            elif factor and place == (factor[3], factor[4] + factor[2]):
+                factor[2] += 1
+            else:
+                factor = [d, i, 1, *place]
+                want.append(factor)
+    assert got == sorted(map(tuple, want)) and max(f[2] for f in got) > 30
+
+
+def test_many_documents_around_one_phrase_lose_nothing(spark):
+    """40,000 documents share eight words and nothing else, so no window of twenty is found twice."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 10**9, (40_000, 28))
+    phrase = "one common phrase that very many texts share"
+    rows = [(i, " ".join(f"{x:x}" for x in w[:14].tolist()) + f" {phrase} " + " ".join(f"{x:x}" for x in w[14:].tolist())) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = substring.remove_repeats(df)
+    assert got.where("n_removed > 0").count() == 0 and got.count() == 40_000
+    assert {r.n_words for r in got.select("n_words").distinct().collect()} == {36}
