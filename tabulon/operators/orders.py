@@ -14,8 +14,8 @@ from tabulon.sources.scratch import persist
 ROW_ID = "_row_id"
 
 
-def with_row_ids(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Row ids from 0, gapless, in the given total order.
+def with_row_ids(df: DataFrame, *order: str | Column, into: str = ROW_ID) -> DataFrame:
+    """Row ids from 0, gapless, in the given total order, as the column ``into``.
 
     Rows are ranged by the order and written once with their range and place in it; both the counts and the ids are
     made from what was written, so they speak of the same ranges however the plan is cut. No task sees all rows.
@@ -25,7 +25,7 @@ def with_row_ids(df: DataFrame, *order: str | Column) -> DataFrame:
     counts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = F.broadcast(counts.select("_part", before.alias("_before")))  # broadcast: a row for each partition
-    return written.join(begins, "_part").withColumn(ROW_ID, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return written.join(begins, "_part").withColumn(into, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def sort_columns(df: DataFrame, keys: list[Any]) -> list[Column]:
@@ -65,6 +65,23 @@ def page(df: DataFrame, keys: list[Any], offset: int = 0, limit: int | None = No
     return out if limit is None else out.limit(limit)
 
 
+#: Rows that a sorted template query reads at most, and those that it gives by default.
+KEPT, PAGE = 100_000, 100
+
+
+def template_query(df: DataFrame, filter_: Any = None, select: list[str] | None = None, order_by: str | None = None, reverse: bool = False, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A page of the rows that a filter keeps, by one column (``"a"`` or ``"-a"``) or in file order, perhaps the last first."""
+    from tabulon.operators.filters import where
+    from tabulon.operators.rows import select as pick
+
+    if order_by and reverse:
+        raise ValidationError("order_by and reverse go separately: reverse reads the file last first")
+    if order_by and offset + limit > KEPT:
+        raise ValidationError(f"a sorted query reads the first {KEPT} rows; narrow it with a filter")
+    rows = df if filter_ is None else where(df, filter_)
+    return pick(page(rows, [order_by] if order_by else [], offset, limit, reverse), select)
+
+
 def after(df: DataFrame, key: str, last: Any, limit: int) -> DataFrame:
     """Keyset paging: the page after a known key."""
     from tabulon.operators.filters import where

@@ -12,13 +12,15 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.values import ValidationError, logical
 from tabulon.operators.filters import where
-from tabulon.operators.orders import ROW_ID
+from tabulon.operators.orders import ROW_ID, with_row_ids
+from tabulon.operators.rows import batches
+from tabulon.sources.scratch import persist
 
 
 class RowProxy:
@@ -118,7 +120,10 @@ class Query:
     def select(self, fn: Callable[..., Any], index: str | None = None) -> Query:
         """``fn(row)``; with ``index`` the name of a column that holds the row's place in the current order."""
         if index:
-            numbered = self._df.withColumn(index, F.row_number().over(Window.orderBy(*self._sorted())) - 1)
+            order, df = self._sorted(), self._df
+            if not self._order and ROW_ID not in df.columns:
+                df, order = persist(df.withColumn("_place", F.monotonically_increasing_id()), "placed"), [F.col("_place")]
+            numbered = with_row_ids(df, *order, into=index)
             return Query(numbered.select(*_named(fn(RowProxy(numbered)))), (), (*self._notes, "select with index"))
         keep = [F.col(ROW_ID)] if ROW_ID in self._df.columns else []
         made = _named(fn(self.row))
@@ -193,6 +198,19 @@ class Query:
         empty = F.array().cast(packed.schema[name].dataType)
         return self._with(out.withColumn(name, F.coalesce(name, empty)), note="group join")
 
+    # -- correlated sub-queries
+    def where_exists(self, inner: Any, outer_key: Callable, inner_key: Callable, negate: bool = False) -> Query:
+        """Rows that a row of ``inner`` has the keys of, or with ``negate`` none; null keys match null keys."""
+        return self._with(self._joined(inner, outer_key, inner_key, "left_anti" if negate else "left_semi"), note="exists")
+
+    def with_related(self, inner: Any, outer_key: Callable, inner_key: Callable, result: Callable[[Group], dict[str, Column]]) -> Query:
+        """Each row with aggregates over the rows of ``inner`` that have its keys; null where there are none."""
+        other = inner._df if isinstance(inner, Query) else inner
+        keys = [k.alias(f"_k{i}") for i, k in enumerate(_keys(inner_key(RowProxy(other))))]
+        grouped = other.groupBy(*keys).agg(*_named(result(Group(other))))
+        on = reduce(lambda a, b: a & b, [k.eqNullSafe(grouped[f"_k{i}"]) for i, k in enumerate(_keys(outer_key(self.row)))])
+        return self._with(self._df.join(grouped, on, "left").drop(*(f"_k{i}" for i in range(len(keys)))), note="related")
+
     # -- grouping and sets
     def group_by(self, key: Callable[[RowProxy], Any], result: Callable[[Group], dict[str, Column]]) -> Query:
         """One row a group: the keys and the result's aggregates, in order of first appearance where rows have ids."""
@@ -306,16 +324,17 @@ class Query:
         return self._one(Group(self._df).average(fn))
 
     def __iter__(self):
+        """Rows in order; the driver holds those of a partition or two at a time."""
         names = [c for c in self._df.columns if c != ROW_ID]
-        return (r.asDict(recursive=True) for r in self.frame().select(*(f"`{n}`" for n in names)).toLocalIterator(prefetchPartitions=True)) if not self._order else iter(self.to_list())
+        return (r.asDict(recursive=True) for r in self.frame().select(*(f"`{n}`" for n in names)).toLocalIterator(prefetchPartitions=True))
 
     def to_list(self) -> list[dict]:
         df = self._df.orderBy(*self._sorted())
         return [{k: v for k, v in r.asDict(recursive=True).items() if k != ROW_ID} for r in df.collect()]
 
     def batches(self):
-        """Arrow batches of the rows."""
-        return self.frame().toArrow().to_batches()
+        """Arrow batches of the rows in order, streamed."""
+        return batches(self.frame())
 
     def explain(self) -> dict:
         from tabulon.plans.introspect import explain

@@ -27,10 +27,19 @@ def select(df: DataFrame, names: list[str] | None) -> DataFrame:
     return df.select(*(f"`{n}`" for n in names))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+
 def batches(df: DataFrame, filter_: Any = None, names: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of the rows; what doesn't fit the driver should be written instead."""
-    rows = df if filter_ is None else where(df, filter_)
-    yield from select(rows, names).toArrow().to_batches()
+    """Arrow batches of the rows in order; the driver holds those of a partition or two at a time."""
+    rows = select(df if filter_ is None else where(df, filter_), names)
+    for row in rows.mapInArrow(_packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row.batch)
 
 
 def column_arrays(df: DataFrame, filter_: Any = None, names: list[str] | None = None, offset: int = 0, limit: int | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:

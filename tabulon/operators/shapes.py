@@ -14,7 +14,7 @@ from functools import reduce
 from typing import Any
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,17 +177,36 @@ class Compiler:
         rows = rows if "$limit" not in node else F.slice(rows, 1, node["$limit"])
         return F.transform(rows, lambda x: x["item"])
 
+    def _first(self, node: dict, df: DataFrame, keys: list[str], path: str) -> DataFrame:
+        """The rows of each set that $sort and $limit leave: a top-k, which Spark takes in part before it moves rows."""
+        order = []
+        for k in node.get("$sort", []):
+            c = self._column(df, k.removeprefix("-"), f"{path}.$sort")
+            if logical(df.schema[k.removeprefix("-")].dataType) not in ORDERED:
+                _fail(path, f"can't sort by type {logical(df.schema[k.removeprefix('-')].dataType)}")
+            order.append(c.desc_nulls_last() if k.startswith("-") else c.asc_nulls_first())
+        order.append(F.col(ROW_ID).asc())
+        if not keys:
+            return df.orderBy(*order).limit(node["$limit"])
+        place = F.row_number().over(Window.partitionBy(*(f"`{k}`" for k in keys)).orderBy(*order))
+        return df.withColumn("_place", place).where(F.col("_place") <= node["$limit"]).drop("_place")
+
     def _check_list(self, node: dict, path: str) -> None:
         if unknown := set(node) - LIST_KEYS:
             _fail(path, f"unknown keys {sorted(unknown)}")
         if "$limit" in node and (not isinstance(node["$limit"], int) or node["$limit"] < 0):
             _fail(path, "$limit is a whole number")
+        if not isinstance(node.get("$xmlItem", "item"), str) or not _XML_NAME.match(node.get("$xmlItem", "item")):
+            _fail(path, "$xmlItem is a name that XML can have")
         if isinstance(node.get("$sort", []), str) or not isinstance(node.get("$groupBy", []), list | str):
             _fail(path, "$sort is a list")
 
     def list_(self, node: dict, df: DataFrame, keys: list[str], path: str, plan: dict) -> Column:
         self._check_list(node, path)
         keep = as_value(node["$filter"], df) if "$filter" in node else None
+        if "$groupBy" not in node and "$limit" in node:  # cut before anything is collected
+            item, joined = self.row(node["$rows"], self._first(node, df if keep is None else df.where(keep), keys, path), f"{path}.$rows")
+            return self._separate(node, joined, keys, path, plan, item)
         if "$groupBy" not in node:
             item, joined = self.row(node["$rows"], df, f"{path}.$rows")
             if joined is not df:  # items with links of their own: a frame of its own, joined back by the keys
@@ -261,6 +280,8 @@ class Compiler:
             if "$groupBy" in inner:
                 made = self._grouped(inner, child, keys, path)
             else:
+                if "$limit" in inner:
+                    child = self._first(inner, child, keys, path)
                 item, joined = self.row(node["$rows"], child, f"{path}.$rows")
                 made = joined.groupBy(*(f"`{k}`" for k in keys)).agg(self._items(item, inner, joined, path, None).alias("_list"))
             packed = made.select(*(F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(keys)), F.col("_list").alias(name))
@@ -340,8 +361,13 @@ _XML_NAME = re.compile(r"[A-Za-z_][\w.-]*\Z")
 _XML_BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
-def to_xml(value: Any, name: str = "export", item: str = "row") -> str:
-    """A JSON value as XML: nulls are left out, names that XML can't have become ``<field name=...>``."""
+def to_xml(value: Any, name: str = "export", item: str = "row", template: Any = None) -> str:
+    """A JSON value as XML: nulls are left out, names that XML can't have become ``<field name=...>``.
+
+    With the value's ``template``, each list's items are named by its ``$xmlItem``, or ``item``.
+    """
+    if not _XML_NAME.match(name):
+        raise ValidationError(f"{name!r} is not a name that XML can have")
 
     def tag(key: str, body: str) -> str:
         if _XML_NAME.match(key) and not key.lower().startswith("xml"):
@@ -356,14 +382,17 @@ def to_xml(value: Any, name: str = "export", item: str = "row") -> str:
             raise ValidationError("a character that XML can't have")
         return escape(out)
 
-    def body(v: Any) -> str:
+    def body(v: Any, node: Any) -> str:
+        spec = node if isinstance(node, dict) else {}
         if isinstance(v, dict):
-            return "".join(tag(k, body(x)) for k, x in v.items() if x is not None)
+            spec = spec.get("$one", spec)
+            return "".join(tag(k, body(x, spec.get(k) if isinstance(spec, dict) else None)) for k, x in v.items() if x is not None)
         if isinstance(v, list):
-            return "".join(tag(item, body(x)) for x in v if x is not None)
+            each = spec.get("$xmlItem", "item" if template is not None else item)
+            return "".join(tag(each, body(x, spec.get("$rows"))) for x in v if x is not None)
         return text(v)
 
-    return '<?xml version="1.0" encoding="UTF-8"?>' + tag(name, body(value))
+    return '<?xml version="1.0" encoding="UTF-8"?>' + tag(name, body(value, template))
 
 
 def json_schema(kind: T.DataType) -> dict:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
+import uuid
+from collections.abc import Callable
 from typing import Any
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +59,34 @@ def estimate(df: DataFrame, filter_: dict) -> dict[str, Any]:
 
 
 def advise(df: DataFrame, columns: list[str]) -> list[dict[str, Any]]:
-    """For each column, how many files a value spans on average, and whether sorting by it would help."""
-    stats, out = files(df), []
-    n = stats.count()
+    """For each column, how many files a value is in on average, over all its values, and whether sorting by it would help."""
+    out, n = [], files(df).count()
     for c in columns:
-        spans = stats.select(F.col(f"min_{c}").alias("lo"), F.col(f"max_{c}").alias("hi")).where("lo is not null")
-        values = df.select(F.col(c).alias("v")).where("v is not null").distinct().orderBy(F.xxhash64("v")).limit(100)
-        row = values.join(spans, (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).groupBy("v").count().agg(F.avg("count")).first()
-        mean = row[0] or 0
+        each = df.select(F.col(f"`{c}`").alias("v"), F.col("_metadata.file_path").alias("f")).where("v is not null").distinct()
+        mean = each.groupBy("v").count().agg(F.avg("count")).first()[0] or 0
         out.append({"column": c, "files": n, "filesPerValue": mean, "advice": "sort or partition by it" if n > 1 and mean > max(1.5, 0.25 * n) else "fine"})
     return out
+
+
+def with_progress(spark: Any, action: Callable[[], Any], on_progress: Callable[[dict[str, int]], None], cancel: threading.Event | None = None, every: float = 0.2) -> Any:
+    """Run an action while reporting its tasks, done and in all; setting ``cancel`` ends its jobs with an error."""
+    tag, box = f"tabulon-{uuid.uuid4().hex}", {}
+
+    def run() -> None:
+        spark.sparkContext.setJobGroup(tag, "with progress", True)
+        try:
+            box["value"] = action()
+        except BaseException as e:  # handed on to the caller
+            box["error"] = e
+
+    worker, status = InheritableThread(target=run), spark.sparkContext.statusTracker()
+    worker.start()
+    while worker.is_alive():
+        worker.join(every)
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(tag) if (job := status.getJobInfo(j)) for s in job.stageIds]
+        on_progress({"tasks": sum(s.numTasks for s in stages if s), "done": sum(s.numCompletedTasks for s in stages if s)})
+        if cancel is not None and cancel.is_set():
+            spark.sparkContext.cancelJobGroup(tag)
+    if "error" in box:
+        raise box["error"]
+    return box.get("value")

@@ -126,3 +126,13 @@ def test_xml_round_trip(spark, tmp_path):
     assert sorted(r.id for r in io.read_xml(spark, str(tmp_path / "x.xml")).collect()) == [1, 2]
     with pytest.raises(ValidationError):
         list(io.xml_rows("<!DOCTYPE x><r/>"))
+
+
+def test_xml_items_and_root(spark, people):
+    template = {"teams": {"$groupBy": ["team"], "$xmlItem": "team", "$rows": {"n": {"$count": True}, "people": {"$rows": "name", "$xmlItem": "who", "$limit": 1}}}, "all": {"$rows": {"x": "name"}, "$limit": 1, "$sort": ["-name"]}}
+    value = json.loads(shapes.to_json(shapes.shape(template, {"people": people}, "people")))
+    assert shapes.to_xml(value, "out", template=template).endswith("<out><teams><team><n>2</n><people><who>ann</who></people></team><team><n>1</n><people><who>bob</who></people></team><team><n>1</n><people><who>dan</who></people></team></teams><all><item><x>dan</x></item></all></out>")
+    with pytest.raises(ValidationError):
+        shapes.to_xml(value, "no name")
+    with pytest.raises(ValidationError):
+        shapes.shape({"a": {"$rows": "name", "$xmlItem": "1"}}, {"people": people}, "people")

@@ -35,3 +35,36 @@ def test_estimate_and_advice(spark, tmp_path):
     by = {a["column"]: a["advice"] for a in introspect.advise(df, ["id", "k"])}
     assert by == {"id": "fine", "k": "sort or partition by it"}
     assert introspect.analyze(df, {"k": 3})["rows"] == 100
+
+
+def test_progress_and_cancel(spark):
+    import threading
+    import time
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tabulon.plans.introspect import with_progress
+
+    slow = spark.range(0, 8, 1, 8).select(F.pandas_udf(lambda x: (time.sleep(0.4), x)[1], "long")("id").alias("x"))
+    seen = []
+    assert with_progress(spark, lambda: slow.count() or slow.agg(F.sum("x")).first()[0], seen.append) is not None and seen[-1]["done"] <= seen[-1]["tasks"]
+    stop = threading.Event()
+    stop.set()
+    endless = spark.range(0, 64, 1, 64).select(F.pandas_udf(lambda x: (time.sleep(3), x)[1], "long")("id").alias("x"))
+    began = time.time()
+    with pytest.raises(Exception, match="(?i)cancel"):
+        with_progress(spark, lambda: endless.agg(F.sum("x")).first(), lambda _: None, stop)
+    assert time.time() - began < 40
+
+
+def test_batches_stream_in_order(spark):
+    from tabulon.operators import rows
+    from tabulon.operators.query import from_
+
+    df = spark.range(1000).withColumnRenamed("id", "_row_id").selectExpr("_row_id", "999 - _row_id as v").repartition(5)
+    got = [v for b in rows.batches(df.orderBy("_row_id"), None, ["v"]) for v in b.column(0).to_pylist()]
+    assert got == list(range(999, -1, -1))
+    assert [r["v"] for r in from_(df).order_by("v")] == list(range(1000))
+    placed = from_(df).order_by("v").select(lambda r: {"i": r.i, "v": r.v}, index="i").frame()
+    assert sorted(map(tuple, placed.collect())) == [(i, i) for i in range(1000)]
