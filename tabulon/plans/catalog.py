@@ -400,19 +400,18 @@ def _(spark, sf_dir):
     return made.select("value.r_name", F.inline("value.nations")).select("r_name", "n_name", F.inline("customers")).select("r_name", "n_name", "c_custkey", F.size("orders").cast("long").alias("n"))
 
 
-@register("shp_18_json", "SELECT o_orderkey AS k, '{\"id\":' || o_orderkey || ',\"at\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\",\"none\":null}' AS j FROM orders WHERE o_orderkey < 200")
+@register("shp_18_json", "SELECT o_orderkey AS k, '{\"id\":' || o_orderkey || ',\"at\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z\",\"none\":null}' AS j FROM orders")
 def _(spark, sf_dir):
-    made = shapes.row_shape({"id": "o_orderkey", "at": "o_orderdate", "none": None}, _tables(spark, sf_dir), "orders", {"o_orderkey": {"lt": 200}})
+    made = shapes.row_shape({"id": "o_orderkey", "at": "o_orderdate", "none": None}, _tables(spark, sf_dir), "orders")
     made = made.withColumn("k", F.col("value.id")).select("k", F.col("value").alias("value"))
     return shapes.json_text(made).select("k", F.col("value").alias("j"))
 
 
 # -- links
-@register("links_08_missing", "SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 12)")
+@register("links_08_missing", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def _(spark, sf_dir):
-    link = links.Link("x", "orders", ("o_custkey",), "customer", ("c_custkey",))
-    t = {"orders": table(spark, sf_dir, "orders").where("o_custkey % 10 = 0"), "customer": table(spark, sf_dir, "customer").where("c_nationkey < 12")}
-    return links.missing(link, t).select("o_orderkey")
+    t = {n: table(spark, sf_dir, n) for n in ("documents", "labels")}
+    return links.missing(links.Link("x", "documents", ("doc_id",), "labels", ("doc_id",)), t).select("doc_id")
 
 
 @register("links_09_duplicates", "SELECT source AS source, lang AS lang, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
@@ -486,16 +485,17 @@ def _(spark, sf_dir):
     return df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.try_variant_get("v", "$.k", "string")).alias("k"))
 
 
-@register("mut_full_cycle")
+@register("mut_full_cycle", """SELECT row_number() OVER (ORDER BY n_name) - 1 AS _row_id, n_nationkey, n_name, n_regionkey FROM (
+  SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'ZZ' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 1 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey NOT IN (2, 3, 4)
+  UNION ALL SELECT 200, 'ZZZ', NULL UNION ALL SELECT 300, 'ZZZZ', NULL)""")
 def _(spark, sf_dir):
     """A dataset written, changed, appended to and compacted in the shared folder; its rows at the end."""
-    import tempfile
     import uuid
 
     from tabulon.sources.dataset import Dataset
+    from tabulon.sources.scratch import shared_dir
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tabulon-")
-    data = Dataset.create(spark, f"{base.rstrip('/')}/dataset-{uuid.uuid4().hex}", {"nation": table(spark, sf_dir, "nation")}, {"nation": {"sortedBy": ["n_name"]}})
+    data = Dataset.create(spark, f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}", {"nation": table(spark, sf_dir, "nation")}, {"nation": {"sortedBy": ["n_name"]}})
     data.update("nation", upsert=[{"n_nationkey": 1, "n_name": "ZZ"}, {"n_nationkey": 200, "n_name": "ZZZ"}], key_columns=["n_nationkey"], delete={"n_nationkey": 2})
     data.append("nation", insert=[{"n_nationkey": 300, "n_name": "ZZZZ"}], delete={"n_nationkey": {"in": [3, 4]}})
     data.compact("nation")

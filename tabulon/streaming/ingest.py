@@ -50,6 +50,7 @@ def read_files(spark: SparkSession, path: str, schema, kind: str = "parquet", pe
 
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Counts of a key for each window of event time; state is dropped once the watermark has passed."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need an instant
     return events.withWatermark(time, late).groupBy(F.window(time, window), key).count()
 
 
