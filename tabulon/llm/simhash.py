@@ -286,23 +286,52 @@ def _leaders(radius: int):
     return run
 
 
+def wide_links(f: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of columns of ``f`` (two words each) within ``radius`` whose roots differ, by a Gray-order tree.
+
+    Columns are sorted by the Gray rank of all 128 bits and factored into a tree of shared bits; a search adds up
+    differences on the way down and drops a node once they exceed the radius, or if all below it have the query's root.
+    """
+    turned = np.where(np.bitwise_count(f[0]) & 1, ~np.uint64(0), np.uint64(0))
+    order = np.lexsort((gray_rank(f[1]) ^ turned, gray_rank(f[0])))
+    f, root = f[:, order], root[order]
+    ones, zeros, low, high = f, ~f, root, root
+    levels = [(ones | zeros, ones, low, high)]
+    while ones.shape[1] > 1:
+        cuts = np.arange(0, ones.shape[1], FANOUT)
+        ones, zeros = np.bitwise_and.reduceat(ones, cuts, axis=1), np.bitwise_and.reduceat(zeros, cuts, axis=1)
+        low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+        levels.append((ones | zeros, ones, low, high))
+    n, top = f.shape[1], len(levels) - 1
+    step = max(1, FRONTIER // n)
+    for begin in range(0, n, step):
+        query = np.arange(begin, min(begin + step, n))
+        node, far, seen = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64), np.zeros((2, len(query)), np.uint64)
+        for level in range(top, -1, -1):
+            mask, pattern, low, high = levels[level]
+            if level < top:
+                child = node[:, None] * FANOUT + np.arange(FANOUT)
+                at = np.nonzero((child < mask.shape[1]) & ((child + 1) * FANOUT**level > query[:, None]))  # a pair is found from its first member
+                query, node, far, seen = query[at[0]], child[at], far[at[0]], seen[:, at[0]]
+            new = mask[:, node] & ~seen
+            far = far + np.bitwise_count((f[:, query] ^ pattern[:, node]) & new).sum(0, dtype=np.int64)
+            keep = (far <= radius) & ((low[node] != high[node]) | (low[node] != root[query]))
+            query, node, far, seen = query[keep], node[keep], far[keep], (seen | new)[:, keep]
+        keep = node > query
+        yield order[query[keep]], order[node[keep]]
+
+
 def _across(radius: int):
-    """Rows sorted by key and group: all pairs within the radius whose groups differ."""
+    """Rows sorted by key: all pairs of a bucket within the radius whose groups differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             start = np.nonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])[0] if rows.shape[1] else np.empty(0, np.int64)
             for begin, end in zip(start.tolist(), [*start[1:].tolist(), rows.shape[1]], strict=False):
                 _, group, a, *f = rows[:, begin:end]
-                f, n = np.stack(f).view(np.uint64), end - begin
-                later = np.searchsorted(group, group, side="right")  # where the groups after a row's own begin
-                step = max(1, FRONTIER // n)
-                for i in range(0, int(np.searchsorted(later, n)), step):
-                    low = later[i]
-                    far = np.bitwise_count(f[:, i : i + step, None] ^ f[:, None, low:]).sum(0, dtype=np.int64)
-                    x, y = np.nonzero((far <= radius) & (np.arange(low, n) >= later[i : i + step, None]))
+                for x, y in wide_links(np.stack(f).view(np.uint64), group, radius):
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(a[i + x]), pa.array(a[low + y])], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y])], names=["a", "b"])
 
         held = np.empty((5, 0), np.int64)
         for batch in batches:
@@ -322,7 +351,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Candidates agree on the bits of one of several masks, the upper nodes, and lie within the radius there; a link is
     a candidate pair whose sets of shingles have the similarity (intersection over union). Equal fingerprints link.
-    Buckets of over ``EXACT`` members are searched twice: by leaders, then all pairs that the links so far don't join.
+    Buckets of over ``EXACT`` members are searched twice: by leaders, which joins copies by stars, then by a Gray-order
+    tree for all pairs that the links so far don't join.
     """
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
@@ -368,7 +398,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     if not large.isEmpty():
         joined = distinct.join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", "f1", "f2", F.coalesce("root", "a").alias("root"))
         rows = joined.select(F.explode(keys).alias("key"), "root", "a", "f1", "f2").join(large, "key")
-        more = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_across(radius), "a long, b long")
+        more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(radius), "a long, b long")
         roots = connected(alike(more).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
     grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left")
     return grouped.select("row", "doc", "tie", F.coalesce("root", "tie").alias("group"))

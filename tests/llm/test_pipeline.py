@@ -96,3 +96,21 @@ def test_stages_hand_on_documents(spark):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         kept.append({r.doc_id for r in docs.collect()})
     assert all(b <= a for a, b in zip(kept, kept[1:], strict=False)) and kept[-1]
+
+
+def test_recall_of_planted_pairs_at_two_sizes(spark):
+    """Pairs at a similarity just over 0.8 among texts that share nothing else."""
+    rng = random.Random(12)
+    for n in (500, 3000):
+        texts = []
+        for _ in range(n):
+            base = [f"w{rng.randrange(50_000)}" for _ in range(60)]
+            copy = list(base)
+            copy[rng.randrange(10, 50)] = "changed"
+            texts += [" ".join(base), " ".join(copy)]
+        a, b = shingles(texts[0]), shingles(texts[1])
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS).repartition(4)
+        group = {r.doc_id: r.group for r in simhash.similar_documents(df).select("row.doc_id", "group").collect()}
+        assert sum(group[2 * i] == group[2 * i + 1] for i in range(n)) >= 0.96 * n
+        assert len({group[2 * i] for i in range(n)}) == n

@@ -85,3 +85,30 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = simhash.near_duplicates(spark.createDataFrame([(None, "a b"), (None, None), (3, "a b")], "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == sorted([(3, 3), (None, 3), (None, None)], key=str)
+
+
+def test_wide_tree_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for n, radius in ((1, 5), (2, 128), (9, 40), (300, 29), (900, 6)):
+        centre = rng.integers(0, 2**63, (2, 7), dtype=np.uint64)
+        f = centre[:, rng.integers(0, 7, n)]
+        for _ in range(12):
+            f = f ^ (np.uint64(1) << rng.integers(0, 64, (2, n)).astype(np.uint64)) * rng.integers(0, 2, (2, n)).astype(np.uint64)
+        root = rng.integers(0, 5, n)
+        root[: n // 2] = 3
+        got = {(min(i, j), max(i, j)) for a, b in simhash.wide_links(f, root, radius) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        far = np.bitwise_count(f[:, :, None] ^ f[:, None, :]).sum(0, dtype=np.int64)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if far[i, j] <= radius and root[i] != root[j]}
+        assert got == want
+
+
+def test_one_large_node_at_the_default_size(spark):
+    """Over a thousand fingerprints that share all upper bits go through the tree and lose no link."""
+    rng = random.Random(3)
+    fps = sorted({0xABCD << 48 | sum(1 << b for b in range(20) if rng.random() < 0.5) for _ in range(1600)})
+    assert len(fps) > 1000
+    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    root = {r.node: r.root for r in simhash.connected(simhash.near_pairs(df, 2), "t").collect()}
+    signed = [int(np.uint64(x).view(np.int64)) for x in fps]
+    mine, want = [root.get(s, s) for s in signed], brute_components(fps)
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
