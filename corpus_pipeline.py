@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import linededup, mixing, packing, quality, simhash
 from tabulon.llm.common import persist
-from tabulon.llm.registry import tokenizer_file
+from tabulon.llm.registry import added_tokens, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer_file())
+    return packing.pack(docs, tokenizer_file(), added=added_tokens())
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("source mix", mix_sources), ("packing", pack_sequences)]
