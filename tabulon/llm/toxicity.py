@@ -60,6 +60,7 @@ TARGETED, NEGATED, REPORTED, ELSEWHERE = 1, 2, 4, 8
 PATTERNS = [(kind, marks) for kind in (INSULT, THREAT, LEARNED) for marks in range(8)]
 _CLASSES, _MARKS = 16, 16
 _HITS, _NAMES, _RESETS = (INSULT, THREAT, LEARNED), (INSULT, LEARNED), (COLON, OPEN, CLOSE)
+SYMBOLS = [c + _CLASSES * m for c in range(CLOSE + 1) for m in (range(_MARKS) if c in _HITS else (0,))]
 _QUOTES = "\"“”„«»‘‚"
 _TRIM = string.punctuation + "“”„«»‘’…¡¿"
 _DEFAULT = np.array([2.0, 3.0, 0.5, 0.5, 1.0, 1.0, 0.2, 0.2, 0.0, 2.0, 0.0, 0.2, 0.0, 0.5, 0.0, 0.1, 2.0, 3.0, 0.5, 0.5, 1.0, 1.0, 0.2, 0.2])
@@ -69,28 +70,28 @@ _DEFAULT_BIAS = -2.0
 class Transducer:
     """A deterministic machine that writes a symbol for each that it reads; a symbol is a class and its marks.
 
-    ``step[state][symbol]`` is the next state and the symbol written; state 0 begins.
+    ``step[state][symbol]`` is the next state and the symbol written; state 0 begins. Only matches bear marks.
     """
 
-    def __init__(self, step: list[list[tuple[int, int]]]) -> None:
+    def __init__(self, step: list[dict[int, tuple[int, int]]]) -> None:
         self.step = step
 
     @classmethod
     def of(cls, states: int, rule: Callable[[int, int, int], tuple[int, int]]) -> Transducer:
         """``rule(state, class, marks)`` gives the next state and the marks to add."""
-        return cls([[(to, c + _CLASSES * (m | more)) for m in range(_MARKS) for c in range(_CLASSES) for to, more in [rule(s, c, m)]] for s in range(states)])
+        return cls([{x: (to, x % _CLASSES + _CLASSES * (x // _CLASSES | more)) for x in SYMBOLS for to, more in [rule(s, x % _CLASSES, x // _CLASSES)]} for s in range(states)])
 
     def __matmul__(self, first: Transducer) -> Transducer:
         """Composition: ``first`` reads the clause, this one what it writes. Only pairs of states that are reached are kept."""
         at, pairs, step = {(0, 0): 0}, [(0, 0)], []
         for a, b in pairs:
-            row = []
-            for to_a, mid in first.step[a]:
+            row = {}
+            for symbol, (to_a, mid) in first.step[a].items():
                 to_b, out = self.step[b][mid]
                 if (to_a, to_b) not in at:
                     at[to_a, to_b] = len(pairs)
                     pairs.append((to_a, to_b))
-                row.append((at[to_a, to_b], out))
+                row[symbol] = (at[to_a, to_b], out)
             step.append(row)
         return Transducer(step)
 
@@ -163,9 +164,8 @@ def _report_before() -> Transducer:
 
 def _phrase() -> Transducer:
     """Neighbouring insults are one: all but the first become other words."""
-    step = [[(int(x % _CLASSES in _NAMES), x) for x in range(_CLASSES * _MARKS)] for _ in range(2)]
-    step[1] = [(to, OTHER if to else x) for to, x in step[1]]
-    return Transducer(step)
+    first = {x: (int(x % _CLASSES in _NAMES), x) for x in SYMBOLS}
+    return Transducer([first, {x: (to, OTHER if to else x) for x, (to, _) in first.items()}])
 
 
 FROM_END = _report_after() @ _threat_object() @ _reach(TARGET, TARGETED, _NAMES)
