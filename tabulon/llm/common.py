@@ -45,7 +45,7 @@ def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20)
 #: A node of a graph with over one in ``SHARE`` of all edges is a hub; so there are ``SHARE`` of them at most.
 SHARE = 2000
 #: Edges up to which hubs need no care: any task can hold them all.
-FEW = 200_000
+FEW = 10_000
 
 
 def _with_least(edges: DataFrame, name: str, few: bool) -> DataFrame:

@@ -64,23 +64,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     ``odds``: a positive column of ``docs`` that multiplies a document's inclusion odds within its source.
     """
+    return _mixed(docs, weights, share, most, seed, odds, False).select("doc_id", "tie", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, odds: Column | None = None) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, and ``copies``, how often the mix takes it; rows that it doesn't take are left out.
+
+    The cut of each source is found on sizes alone; then each row tells its own copies, so texts are never shuffled.
+    """
+    return _mixed(docs, weights, share, most, seed, odds, True).where("copies > 0").select("row", "copies")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: str, odds: Column | None, whole_rows: bool) -> DataFrame:
     text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    slim = docs.select(doc.alias("doc_id"), F.xxhash64(doc, doc.isNull(), text, "source").alias("tie"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"), uniform(seed, doc, text).alias("u"), (F.lit(1.0) if odds is None else odds.cast("double")).alias("odds"))
-    slim = persist(slim, "sizes")
+    measured = docs.select(
+        F.struct("*").alias("row"), doc.alias("doc_id"), F.xxhash64(doc, doc.isNull(), text, "source").alias("tie"), F.col("source").cast("string").alias("source"), n_words(text).alias("size"),
+        uniform(seed, doc, text).alias("u"), (F.lit(1.0) if odds is None else odds.cast("double")).alias("odds"),
+    )
+    slim = persist(measured.drop("row"), "sizes")
     goals = persist(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("n", F.monotonically_increasing_id()), "targets")
     small = goals.count() <= BROADCAST_SOURCES
 
     def with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(table) if small else table, "n", "left")
 
-    keyed = slim.join(F.broadcast(goals) if small else goals, slim.source.eqNullSafe(goals.source)).drop(goals.source)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole, left = F.floor("rate"), F.col("rate") - F.floor("rate")
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("left") / (1 - F.col("left")) * F.col("odds"))
-    keyed = keyed.withColumn("rate", rate).withColumn("whole", whole).withColumn("left", left)
-    keyed = keyed.withColumn("rank", F.when(F.col("left") > 0, rank))
-    cell = F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS * CELLS)
-    keyed = keyed.withColumn("cell", F.floor(cell / CELLS)).withColumn("sub", cell % CELLS)
+
+    def ranked_in(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(goals) if small else goals, rows.source.eqNullSafe(goals.source)).drop(goals.source)
+        rows = rows.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("left", F.col("rate") - F.floor("rate"))
+        rank = (F.col("u") / (1 - F.col("u"))) / (F.col("left") / (1 - F.col("left")) * F.col("odds"))
+        rows = rows.withColumn("rank", F.when(F.col("left") > 0, rank))
+        cell = F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS * CELLS)
+        return rows.withColumn("cell", F.floor(cell / CELLS)).withColumn("sub", cell % CELLS)
+
+    keyed = ranked_in(slim)
     wanted = goals.select("n", (F.col("target") - F.floor(rate) * F.col("source_size")).alias("wanted"))
 
     def edge(rows: DataFrame, by: str, want: DataFrame) -> DataFrame:
@@ -106,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # where the order is cut: the last place of which some row is taken, and how many rows of it
     cut = last.where("fit > 0").groupBy("n").agg(F.max(F.struct("rank", "doc_id", "tie", "fit", "times")).alias("cut"))
     table = persist(edges.join(cut, "n", "left"), "limits")
-    out = with_source(keyed, table)
+    out = with_source(ranked_in(measured) if whole_rows else keyed, table)
     limit = F.struct(F.col("cut.rank").alias("rank"), F.col("cut.doc_id").alias("doc_id"), F.col("cut.tie").alias("tie"))
     code = (
         F.when(F.col("rank").isNull(), 0)
@@ -118,38 +136,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .when((place < limit) | (F.col("cut.fit") == F.col("cut.times")), 1)
     )
     out = out.withColumn("extra", code)
-    # the rows of the place at the cut itself, if only some of them are taken: numbered by their place in the input, cell by cell
-    split = persist(out.where("extra is null").withColumn("at", F.monotonically_increasing_id()), "split")
-    cells = split.groupBy("n", F.shiftright("at", 13).alias("block")).agg(F.count(F.lit(1)).alias("rows"))
+    copies = (F.col("whole") + F.col("extra")).cast("int")
+    names = [*(["row"] if whole_rows else []), "doc_id", "tie", "source", "size", "source_size", "target"]
+    if table.where("cut.fit < cut.times").isEmpty():
+        return out.select(*names, copies.alias("copies"))
+    # the rows of the place at the cut itself, if only some of them are taken: numbered by their place in the input, block by block
+    split = persist(out.where("extra is null").select(*names, "whole", "n", F.col("cut.fit").alias("fit")).withColumn("at", F.monotonically_increasing_id()), "split")
+    blocks = split.groupBy("n", F.shiftright("at", 13).alias("block")).agg(F.count(F.lit(1)).alias("rows"))
     ahead = F.sum("rows").over(Window.partitionBy("n").orderBy("block")) - F.col("rows")
-    blocks = persist(cells.select("n", "block", ahead.alias("ahead")), "blocks")
     number = F.row_number().over(Window.partitionBy("n", "block").orderBy("at"))
-    settled = split.withColumn("block", F.shiftright("at", 13)).join(blocks, ["n", "block"]).withColumn("extra", (F.col("ahead") + number <= F.col("cut.fit")).cast("int"))
-    names = [c for c in out.columns]
-    everything = out.where("extra is not null").unionByName(settled.select(*names))
-    copies = (F.col("whole") + F.col("extra")).cast("int")
-    return everything.select("doc_id", "tie", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def with_copies(docs: DataFrame, **options) -> DataFrame:
-    """Each row of ``docs`` as the struct ``row``, and ``copies``, how often the mix takes it; rows that it doesn't take are left out.
-
-    Rows equal in id, text and source tie, so those that the mix takes as often are as good as any other of them: of a
-    tie's rows the first ones get the larger number of copies. A tie's numbers are two at most, one apart.
-    """
-    found = mix(docs, **options).groupBy("tie").agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.count(F.lit(1)).alias("times"), F.sum("copies").alias("all"))
-    found = persist(found.withColumn("more", F.col("all") - F.col("least") * F.col("times")), "copies")
-    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(doc, doc.isNull(), text, F.col("source").cast("string")).alias("tie"))
-    plain = keyed.join(found.where("least = most and most > 0").select("tie", F.col("least").alias("copies")), "tie").select("row", "copies")
-    # ties that are taken unevenly: one in a source at most, as only its cut divides equal rows
-    odd = found.where("least < most").select("tie", "least", "more")
-    if odd.isEmpty():
-        return plain
-    uneven = persist(keyed.join(F.broadcast(odd) if odd.count() <= BROADCAST_SOURCES else odd, "tie").withColumn("at", F.monotonically_increasing_id()), "uneven")
-    cells = uneven.groupBy("tie", F.shiftright("at", 13).alias("block")).agg(F.count(F.lit(1)).alias("rows"))
-    ahead = F.sum("rows").over(Window.partitionBy("tie").orderBy("block")) - F.col("rows")
-    number = F.row_number().over(Window.partitionBy("tie", "block").orderBy("at"))
-    dealt = uneven.withColumn("block", F.shiftright("at", 13)).join(persist(cells.select("tie", "block", ahead.alias("ahead")), "blocks"), ["tie", "block"])
-    dealt = dealt.select("row", (F.col("least") + (F.col("ahead") + number <= F.col("more")).cast("int")).cast("int").alias("copies"))
-    return plain.unionByName(dealt.where("copies > 0"))
+    settled = split.withColumn("block", F.shiftright("at", 13)).join(persist(blocks.select("n", "block", ahead.alias("ahead")), "blocks"), ["n", "block"])
+    settled = settled.withColumn("extra", (F.col("ahead") + number <= F.col("fit")).cast("int"))
+    return out.where("extra is not null").select(*names, copies.alias("copies")).unionByName(settled.select(*names, copies.alias("copies")))

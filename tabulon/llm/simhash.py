@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 #: Members from which a bucket is parted among tasks.
 BUCKET = 4096
-#: Members up to which a bucket's pairs are all compared at once.
-EXACT = 32
+#: Members up to which a bucket's pairs are all candidates at once.
+EXACT = 4
 #: Bits of the wider fingerprint.
 WIDE = 128
 
@@ -253,10 +253,12 @@ def tables(n: int, similarity: float, recall: float) -> tuple[list[tuple[int, in
 _PAIRS = "key long, a long, b long, f1 long, f2 long"
 
 
-def _leaders(radius: int):
-    """Rows sorted by key and part: a member joins every leader within the radius, or becomes one.
+def _leaders(radius: int, hand_on: bool):
+    """Rows sorted by key and part: a member joins the first leader within the radius, or becomes one.
 
-    Under part -1 every member leads, so all pairs are compared. Leaders of parts stay open (b is null) and go on to be compared with those of the bucket's other parts.
+    Under part -1 every member leads and joins all, so all pairs are compared. Members of other parts are handed on for
+    the second search (b is a). Leaders of parts stay open (b is null) and go on to be compared with those of the
+    bucket's other parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +270,12 @@ def _leaders(radius: int):
             for i, (key, part, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "a")), strict=True)):
                 if (key, part) != now:
                     now, n, ids = (key, part), 0, []
+                if hand_on and part >= 0:
+                    out.append((key, a, a, *f[:, i].view(np.int64).tolist()))
                 if n:
                     near = np.nonzero(np.bitwise_count(lead[:, :n] ^ f[:, i : i + 1]).sum(0) <= radius)[0]
                     if len(near):
-                        out += [(key, a, ids[j], None, None) for j in near.tolist()]
+                        out += [(key, a, ids[j], None, None) for j in near[: None if part < 0 else 1].tolist()]
                         if part >= 0:
                             continue
                 if n == lead.shape[1]:
@@ -378,9 +382,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rows = rows.join(count.select("key", parts.alias("parts")), "key")
     rows = rows.withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(F.least("parts", F.lit(0))).cast("int"))
     chosen = ["key", "part", "a", "f1", "f2"]
-    first = persist(rows.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS), "leaders")
+    first = persist(rows.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius, True), _PAIRS), "leaders")
     left = first.where("b is null").select("key", F.lit(0).alias("part"), "a", "f1", "f2")
-    again = left.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius), _PAIRS)
+    again = left.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius, False), _PAIRS)
 
     def alike(found: DataFrame) -> DataFrame:
         pairs = persist(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -391,13 +395,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    links = alike(first.where("b is not null").select("a", "b").unionAll(again.select("a", "b")))
+    links = alike(first.where("b <> a").select("a", "b").unionAll(again.select("a", "b")))
     equal = found.join(distinct, ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
     roots = connected(links.unionAll(equal), "similar")
-    large = count.where(~small).select("key")
-    if not large.isEmpty():
-        joined = distinct.join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", "f1", "f2", F.coalesce("root", "a").alias("root"))
-        rows = joined.select(F.explode(keys).alias("key"), "root", "a", "f1", "f2").join(large, "key")
+    members = first.where("b = a").select("key", "a", "f1", "f2")
+    if not members.isEmpty():
+        rows = members.join(roots.withColumnRenamed("node", "a"), "a", "left").select("key", F.coalesce("root", "a").alias("root"), "a", "f1", "f2")
         more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(radius), "a long, b long")
         roots = connected(alike(more).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
     grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left")
