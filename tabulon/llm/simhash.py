@@ -218,6 +218,8 @@ BUCKET = 4096
 EXACT = 4
 #: Bits of the wider fingerprint.
 WIDE = 128
+#: Words of the sketch that candidates of the second search must agree on too, before their texts are compared.
+SKETCH = 16
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -238,6 +240,25 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCH`` more words of majority bits, from multiples of the hashes."""
+    out = np.zeros(SKETCH, np.uint64)
+    for w in range(SKETCH):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), SLICE):
+            word = hashes[i : i + SLICE] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * w)
+            word = (word ^ (word >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            ones += np.unpackbits((word ^ (word >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[w] = np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def sketch_radius(similarity: float) -> int:
+    """Differing sketch bits that texts of that similarity exceed about once in a thousand times."""
+    same, bits = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * SKETCH
+    return int(bits * (1 - same) + 3 * np.sqrt(bits * same * (1 - same)))
+
+
 def tables(n: int, similarity: float, recall: float) -> tuple[list[tuple[int, int]], int]:
     """Masks over both words, and the radius: as many tables of about log2(n) bits as the recall at that similarity takes."""
     same = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi  # bits that such texts share
@@ -256,28 +277,50 @@ _PAIRS = "key long, a long, b long, f1 long, f2 long"
 def _leaders(radius: int, hand_on: bool):
     """Rows sorted by key and part: a member joins the first leader within the radius, or becomes one.
 
-    Under part -1 every member leads and joins all, so all pairs are compared. Members of other parts are handed on for
-    the second search (b is a). Leaders of parts stay open (b is null) and go on to be compared with those of the
-    bucket's other parts.
+    Copies of one text lie around it and not around each other, so each leader's followers join their medoid too: the
+    one nearest to the majority of their bits. Under part -1 every member leads and joins all, so all pairs are
+    compared. Members of other parts are handed on for the second search (b is a). Leaders of parts stay open (b is
+    null) and go on to be compared with those of the bucket's other parts.
     """
 
+    def medoids(f: np.ndarray, ids: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
+        order = np.argsort(of, kind="stable")
+        cuts = np.nonzero(np.diff(of[order]))[0] + 1
+        for group in np.split(order, cuts):
+            if len(group) < 3:
+                continue
+            bits = np.unpackbits(np.ascontiguousarray(f[:, group].T).view(np.uint8).reshape(len(group), -1), axis=1)
+            middle = (bits.sum(0, dtype=np.int64) * 2 > len(group)).astype(np.uint8)
+            best = ids[group[np.argmin((bits != middle).sum(1))]]
+            yield from ((int(x), int(best)) for x in ids[group] if x != best)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lead, n = None, np.empty((2, 64), np.uint64), 0
         ids: list[int] = []
+        held: list[tuple[int, np.ndarray, int]] = []  # member, its bits, its leader's number
+
+        def closed() -> list[tuple]:
+            if now is None or now[1] < 0 or len(held) < 3:
+                return []
+            f, a = np.stack([x[1] for x in held], axis=1), np.array([x[0] for x in held], np.int64)
+            return [(now[0], x, y, None, None) for x, y in medoids(f, a, np.array([x[2] for x in held]))]
+
         for batch in batches:
             out: list[tuple] = []
             f = np.stack([np.asarray(batch.column(c), dtype=np.int64).view(np.uint64) for c in ("f1", "f2")])
             for i, (key, part, a) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "a")), strict=True)):
                 if (key, part) != now:
-                    now, n, ids = (key, part), 0, []
+                    out += closed()
+                    now, n, ids, held = (key, part), 0, [], []
                 if hand_on and part >= 0:
                     out.append((key, a, a, *f[:, i].view(np.int64).tolist()))
-                if n:
-                    near = np.nonzero(np.bitwise_count(lead[:, :n] ^ f[:, i : i + 1]).sum(0) <= radius)[0]
-                    if len(near):
-                        out += [(key, a, ids[j], None, None) for j in near[: None if part < 0 else 1].tolist()]
-                        if part >= 0:
-                            continue
+                near = np.nonzero(np.bitwise_count(lead[:, :n] ^ f[:, i : i + 1]).sum(0) <= radius)[0] if n else ()
+                if part >= 0:
+                    held.append((a, f[:, i].copy(), int(near[0]) if len(near) else n))
+                if len(near):
+                    out += [(key, a, ids[j], None, None) for j in near[: None if part < 0 else 1].tolist()]
+                    if part >= 0:
+                        continue
                 if n == lead.shape[1]:
                     lead = np.concatenate([lead, np.empty_like(lead)], axis=1)
                 lead[:, n] = f[:, i]
@@ -286,6 +329,8 @@ def _leaders(radius: int, hand_on: bool):
                 if part > 0:
                     out.append((key, a, None, *f[:, i].view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 5)], names=["key", "a", "b", "f1", "f2"])
+        last = closed()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*last, strict=True) if last else [()] * 5)], names=["key", "a", "b", "f1", "f2"])
 
     return run
 
@@ -325,27 +370,31 @@ def wide_links(f: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[n
         yield order[query[keep]], order[node[keep]]
 
 
-def _across(radius: int):
-    """Rows sorted by key: all pairs of a bucket within the radius whose groups differ."""
+def _across(radius: int, sketched: int):
+    """Rows sorted by key: all pairs of a bucket within the radius whose groups differ and whose sketches are as near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
             start = np.nonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])[0] if rows.shape[1] else np.empty(0, np.int64)
             for begin, end in zip(start.tolist(), [*start[1:].tolist(), rows.shape[1]], strict=False):
                 _, group, a, *f = rows[:, begin:end]
                 for x, y in wide_links(np.stack(f).view(np.uint64), group, radius):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y])], names=["a", "b"])
+                    for i in range(0, len(x), FRONTIER // SKETCH):
+                        p, q = x[i : i + FRONTIER // SKETCH], y[i : i + FRONTIER // SKETCH]
+                        near = np.bitwise_count(more[begin + p] ^ more[begin + q]).sum(1, dtype=np.int64) <= sketched
+                        if near.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(a[p[near]]), pa.array(a[q[near]])], names=["a", "b"])
 
-        held = np.empty((5, 0), np.int64)
+        held, extra = np.empty((5, 0), np.int64), np.empty((0, SKETCH), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = np.concatenate([held, np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns])], axis=1)
+            held = np.concatenate([held, np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns[:5]])], axis=1)
+            extra = np.concatenate([extra, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH)])
             cut = int(np.searchsorted(held[0], held[0, -1]))
-            yield from found(held[:, :cut])
-            held = held[:, cut:]
-        yield from found(held)
+            yield from found(held[:, :cut], extra[:cut])
+            held, extra = held[:, cut:], extra[cut:]
+        yield from found(held, extra)
 
     return run
 
@@ -356,23 +405,25 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Candidates agree on the bits of one of several masks, the upper nodes, and lie within the radius there; a link is
     a candidate pair whose sets of shingles have the similarity (intersection over union). Equal fingerprints link.
     Buckets of over ``EXACT`` members are searched twice: by leaders, which joins copies by stars, then by a Gray-order
-    tree for all pairs that the links so far don't join.
+    tree for all pairs that the links so far don't join and whose longer sketches are near: families of texts that
+    resemble each other at less than the similarity would else give the square of their size.
     """
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
-            fps = [wide_fingerprint(shingle_hashes(x, shingle)) for x in binaries(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[w] for x in fps], pa.int64()) for w in (0, 1))], names=["tie", "f1", "f2"])
+            hashes = [shingle_hashes(x, shingle) for x in binaries(batch.column(1))]
+            fps = [wide_fingerprint(x) for x in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[w] for x in fps], pa.int64()) for w in (0, 1)), pa.array([sketch(x).tobytes() for x in hashes], pa.binary())], names=["tie", "f1", "f2", "sketch"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x, shingle).view(np.int64) for x in binaries(batch.column(1))], pa.list_(pa.int64()))], names=["tie", "set"])
 
     texts = keyed.select("tie", "text")
-    found = persist(texts.mapInArrow(prints, "tie long, f1 long, f2 long"), "wide")
-    distinct = persist(found.groupBy("f1", "f2").agg(F.min("tie").alias("a")), "distinct")
+    found = persist(texts.mapInArrow(prints, "tie long, f1 long, f2 long, sketch binary"), "wide")
+    distinct = persist(found.groupBy("f1", "f2").agg(F.min("tie").alias("a"), F.min_by("sketch", "tie").alias("sketch")), "distinct")
     masks, radius = tables(distinct.count(), similarity, recall)
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("f1").bitwiseAND(F.lit(m1)), F.col("f2").bitwiseAND(F.lit(m2))) for i, (m1, m2) in enumerate(masks)))
     rows = distinct.select("a", "f1", "f2", F.explode(keys).alias("key"))
@@ -396,12 +447,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
     links = alike(first.where("b <> a").select("a", "b").unionAll(again.select("a", "b")))
-    equal = found.join(distinct, ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
+    equal = found.drop("sketch").join(distinct.drop("sketch"), ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
     roots = connected(links.unionAll(equal), "similar")
     members = first.where("b = a").select("key", "a", "f1", "f2")
     if not members.isEmpty():
-        rows = members.join(roots.withColumnRenamed("node", "a"), "a", "left").select("key", F.coalesce("root", "a").alias("root"), "a", "f1", "f2")
-        more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(radius), "a long, b long")
+        known = distinct.select("a", "sketch").join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("root"), "sketch")
+        rows = members.join(known, "a").select("key", "root", "a", "f1", "f2", "sketch")
+        more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(radius, sketch_radius(similarity)), "a long, b long")
         roots = connected(alike(more).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
     grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left")
     return grouped.select("row", "doc", "tie", F.coalesce("root", "tie").alias("group"))
