@@ -399,8 +399,14 @@ def _across(radius: int, sketched: int):
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = BUCKET) -> DataFrame:
-    """Each row of ``docs`` as the struct ``row``, ``tie``, a key of id and text, and ``group``, the least key of the texts it is linked with.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, its doc_id as ``doc``, its text, and ``tie``, a key of id and text."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
+
+
+def similar_keys(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, bucket: int = BUCKET) -> DataFrame:
+    """Keys of linked rows of ``docs``: ``(node, root)``, root the least key of the texts that node is linked with.
 
     Candidates agree on the bits of one of several masks, the upper nodes, and lie within the radius there; a link is
     a candidate pair whose sets of shingles have the similarity (intersection over union). Equal fingerprints link.
@@ -408,8 +414,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     tree for all pairs that the links so far don't join and whose longer sketches are near: families of texts that
     resemble each other at less than the similarity would else give the square of their size.
     """
-    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("row"), doc.alias("doc"), text.alias("text"), F.xxhash64(doc, doc.isNull(), text).alias("tie"))
+    texts = _keyed(docs).select("tie", "text")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
@@ -421,7 +426,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         for batch in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x, shingle).view(np.int64) for x in binaries(batch.column(1))], pa.list_(pa.int64()))], names=["tie", "set"])
 
-    texts = keyed.select("tie", "text")
     found = persist(texts.mapInArrow(prints, "tie long, f1 long, f2 long, sketch binary"), "wide")
     distinct = persist(found.groupBy("f1", "f2").agg(F.min("tie").alias("a"), F.min_by("sketch", "tie").alias("sketch")), "distinct")
     masks, radius = tables(distinct.count(), similarity, recall)
@@ -455,12 +459,25 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         rows = members.join(known, "a").select("key", "root", "a", "f1", "f2", "sketch")
         more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(radius, sketch_radius(similarity)), "a long, b long")
         roots = connected(alike(more).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
-    grouped = keyed.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left")
-    return grouped.select("row", "doc", "tie", F.coalesce("root", "tie").alias("group"))
+    return roots
+
+
+def _groups(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows``, which have ``tie``, with the ``group`` they are in."""
+    return rows.join(roots.select(F.col("node").alias("tie"), "root").hint("merge"), "tie", "left").withColumn("group", F.coalesce("root", "tie")).drop("root")
+
+
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, ``doc``, ``tie``, a key of id and text, and ``group``, the least key of the texts it is linked with."""
+    return _groups(_keyed(docs).select("row", "doc", "tie"), similar_keys(docs, **options))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of near duplicates: that of the least doc_id (null last), then of the least key; rows that repeat wholly count as one."""
-    grouped = persist(similar_documents(docs, **options).withColumn("place", F.monotonically_increasing_id()), "grouped")
-    best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "tie", "place")).alias("best"))
-    return grouped.join(best.select("group", "best.place"), ["group", "place"], "left_semi").select("row.*")
+    """One row of each group of near duplicates: that of the least doc_id (null last), then of the least key; rows that repeat count as one.
+
+    Groups choose among keys, so texts are shuffled once, by key, where repeated rows have been reduced before.
+    """
+    keyed = _keyed(docs)
+    best = _groups(keyed.select("doc", "tie"), similar_keys(docs, **options)).groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "tie")).alias("best"))
+    one = keyed.withColumn("place", F.monotonically_increasing_id()).groupBy("tie").agg(F.min_by("row", "place").alias("row"))
+    return one.join(best.select("best.tie").hint("merge"), "tie", "left_semi").select("row.*")
