@@ -434,7 +434,9 @@ def similar_keys(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rec
     count = persist(rows.groupBy("key").count().where(F.col("count") > 1), "buckets")
     small = F.col("count") <= min(EXACT, bucket)
     parts = F.when(small, -1).otherwise(F.ceil(F.col("count") / bucket)).cast("int")
-    rows = rows.join(count.select("key", parts.alias("parts")), "key")
+    # by a merge at every size, as all joins here of what grows with the input: the planner takes the exploded rows for
+    # as small as ``distinct``, and would gather one for each mask and document on the driver to broadcast them
+    rows = rows.join(count.select("key", parts.alias("parts")).hint("merge"), "key")
     rows = rows.withColumn("part", F.when(F.col("parts") > 1, 1 + F.pmod(F.xxhash64("a"), F.col("parts"))).otherwise(F.least("parts", F.lit(0))).cast("int"))
     chosen = ["key", "part", "a", "f1", "f2"]
     first = persist(rows.repartition("key", "part").sortWithinPartitions("key", "part", F.xxhash64("key", "a")).select(*chosen).mapInArrow(_leaders(radius, True), _PAIRS), "leaders")
@@ -444,19 +446,18 @@ def similar_keys(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rec
     def alike(found: DataFrame) -> DataFrame:
         pairs = persist(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("tie")).unionAll(pairs.select(F.col("b").alias("tie"))).distinct()
-        # texts are joined by a merge at every size: both sides grow with the input
         known = persist(texts.join(wanted.hint("merge"), "tie").dropDuplicates(["tie"]).mapInArrow(sets, "tie long, set array<long>"), "sets")
-        both = pairs.join(known.select(F.col("tie").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("tie").alias("b"), F.col("set").alias("y")), "b")
+        both = pairs.join(known.select(F.col("tie").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(known.select(F.col("tie").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
     links = alike(first.where("b <> a").select("a", "b").unionAll(again.select("a", "b")))
-    equal = found.drop("sketch").join(distinct.drop("sketch"), ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
+    equal = found.drop("sketch").join(distinct.drop("sketch").hint("merge"), ["f1", "f2"]).where("tie <> a").select("a", F.col("tie").alias("b"))
     roots = connected(links.unionAll(equal), "similar")
     members = first.where("b = a").select("key", "a", "f1", "f2")
     if not members.isEmpty():
-        known = distinct.select("a", "sketch").join(roots.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("root"), "sketch")
-        rows = members.join(known, "a").select("key", "root", "a", "f1", "f2", "sketch")
+        known = distinct.select("a", "sketch").join(roots.withColumnRenamed("node", "a").hint("merge"), "a", "left").select("a", F.coalesce("root", "a").alias("root"), "sketch")
+        rows = members.join(known.hint("merge"), "a").select("key", "root", "a", "f1", "f2", "sketch")
         more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_across(radius, sketch_radius(similarity)), "a long, b long")
         roots = connected(alike(more).unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar")
     return roots

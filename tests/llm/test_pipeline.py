@@ -114,3 +114,25 @@ def test_recall_of_planted_pairs_at_two_sizes(spark):
         group = {r.doc_id: r.group for r in simhash.similar_documents(df).select("row.doc_id", "group").collect()}
         assert sum(group[2 * i] == group[2 * i + 1] for i in range(n)) >= 0.96 * n
         assert len({group[2 * i] for i in range(n)}) == n
+
+
+def test_near_dedup_broadcasts_no_rows_of_the_buckets(spark):
+    """A row for each mask and document must not be gathered on the driver, at whatever threshold for broadcasts."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:20])], COLUMNS).repartition(3)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert len(simhash.keep_one(df).collect()) == 400
+    most = 0
+    runs = store.executionsList(int(before), 1000)
+    for i in range(runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for j in range(nodes.size()):
+            if nodes.apply(j).name().startswith("BroadcastExchange"):
+                metrics = nodes.apply(j).metrics()
+                for k in range(metrics.size()):
+                    if metrics.apply(k).name() == "number of output rows" and values.contains(metrics.apply(k).accumulatorId()):
+                        most = max(most, int(values.apply(metrics.apply(k).accumulatorId()).replace(",", "")))
+    assert runs.size() > 3 and most <= 420
