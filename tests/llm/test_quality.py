@@ -122,3 +122,40 @@ def test_verdicts_on_unseen_documents(spark):
     kept = lambda new, good: np.mean([r.kept for r in got if (r.doc_id % 5 == 0) == new and (r.doc_id % 6 != 0) == good])
     assert abs(kept(True, True) - kept(False, True)) < 0.05 and abs(kept(True, False) - kept(False, False)) < 0.05
     assert kept(True, True) > 0.8 and kept(True, False) < 0.1
+
+
+def test_fit_takes_every_label(spark, monkeypatch):
+    """22,000 labelled rows: the draws reach all of them, and the threshold is that of a plain search over the scores of all."""
+    n = 22_000
+    docs = spark.range(n).selectExpr("id doc_id", "concat('w', id, if(id % 7 = 0, '## ', ' '), array_join(transform(sequence(1, 60 + id % 40), i -> concat('x', (i * (id % 96 + 1)) % 97)), ' ')) text")
+    labels = spark.range(n).selectExpr("id doc_id", "cast(id % 7 <> 0 as int) quality")
+    seen = {}
+    threshold = quality._threshold
+
+    def spy(found, forest, others):
+        seen["rows"], seen["forests"] = found.toPandas(), (forest, others)
+        return threshold(found, forest, others)
+
+    monkeypatch.setattr(quality, "_threshold", spy)
+    model = quality.fit(docs, labels)
+    rows, (forest, others) = seen["rows"], seen["forests"]
+    assert len(rows) == n and rows.n.sum() == n and rows.good.sum() + rows.bad.sum() == n
+    x, score = quality.features({s: rows[s].to_numpy() for s in quality.STATS}), np.zeros(n)
+    for p in range(quality.PARTS):
+        at = (rows.part == p).to_numpy()
+        score[at] = others[p].score(x[at])
+    cuts, good = np.unique(score), rows.good.to_numpy() == 1
+    above = lambda some: 1 - np.searchsorted(np.sort(some), cuts, side="right") / len(some)
+    gain = above(score[~good]) - quality.COST * above(score[good])
+    assert abs(gain[np.searchsorted(cuts, model[1])] - gain.max()) < 1e-9 and model[1] in cuts
+    assert quality.draws(n).max() > 0.99 * n
+
+
+def test_labels_that_an_id_has_more_than_once_count_as_often(spark):
+    """Without a square of the repeats: an id's labels and rows are counted before they are joined."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)] * 50 + [(2, text + " more")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 40 + [(1, 0)] * 3 + [(2, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    rows = quality._labelled(quality.with_statistics(docs), labels).collect()
+    assert sorted((r.doc_id, r.n, r.good, r.bad) for r in rows) == [(1, 50, 40, 3), (2, 1, 0, 1)]
+    assert quality.fit(docs, labels) is not None and quality.judge(docs, labels).count() == 51
