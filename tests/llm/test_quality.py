@@ -159,3 +159,13 @@ def test_labels_that_an_id_has_more_than_once_count_as_often(spark):
     rows = quality._labelled(quality.with_statistics(docs), labels).collect()
     assert sorted((r.doc_id, r.n, r.good, r.bad) for r in rows) == [(1, 50, 40, 3), (2, 1, 0, 1)]
     assert quality.fit(docs, labels) is not None and quality.judge(docs, labels).count() == 51
+
+
+def test_bad_labels_beyond_the_first_20000_by_hash_count(spark):
+    """A fit on the 20,000 labels least by this hash would know none of the bad ones, and reject nothing."""
+    n = 22_000
+    order = spark.range(n).selectExpr("id doc_id", "cast(row_number() over (order by xxhash64(cast(id as string), 7), id) <= 20000 as int) quality")
+    text = "concat('w', doc_id, if(quality = 0, ' ## %%', ' '), array_join(transform(sequence(1, 60 + doc_id % 40), i -> concat(if(quality = 0 and i % 2 = 0, '#$', 'x'), (i * (doc_id % 96 + 1)) % 97)), ' ')) text"
+    got = quality.judge(order.selectExpr("doc_id", text), order).join(order, "doc_id").groupBy("quality").avg("anomaly").collect()
+    model = quality.fit(order.selectExpr("doc_id", text), order)
+    assert model is not None and {r.quality: r[1] for r in got}[0] > {r.quality: r[1] for r in got}[1]
