@@ -31,3 +31,11 @@ def test_query_agrees_with_sql(spark, db, name):
     assert sorted(got.columns) == by
     tidy = lambda x: x[by].sort_values(by, key=lambda c: c.astype(str)).reset_index(drop=True)
     pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False)
+
+
+def test_products_beyond_64_bits_are_summed(spark, db, tmp_path):
+    rows = [(1_024_819, "A"), (1_024_820, "A"), (9_000_000_000, "A"), (9_223_372_036_854_775_807, "N"), (9_223_372_036_854_775_806, "N"), (-5, "R"), (None, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["agg_02_exact_int_sum"](spark, str(tmp_path)).collect()
+    sql = catalog.ORACLE["agg_02_exact_int_sum"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.sql(sql).fetchall())
