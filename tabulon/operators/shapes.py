@@ -26,6 +26,9 @@ from tabulon.operators.orders import ROW_ID
 AGGREGATES = ("$count", "$sum", "$min", "$max")
 LIST_KEYS = {"$rows", "$filter", "$groupBy", "$sort", "$limit", "$from", "$on", "$one", "$xmlItem"}
 
+#: Bytes of its files that a task of a link's join takes; the planner deals tables that have less than ``SMALL`` in all.
+SHARE, SMALL = 8 << 20, 64 << 20
+
 
 def _fail(path: str, text: str) -> None:
     raise ValidationError(f"{path or 'template'}: {text}")
@@ -35,6 +38,29 @@ def _ids(df: DataFrame) -> DataFrame:
     return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def _dealt(df: DataFrame) -> int:
+    """The number of tasks that a link deals a large table to, or 0.
+
+    Spark joins partitions until their compressed shuffle has some size; keys compress so well that one task may then sort
+    and hash millions of rows. A number that is asked for stays, and grows with the table.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < SMALL or size >= 1 << 62:  # such a size stands for an unknown one
+        return 0
+    return max(_conf(df).numShufflePartitions(), -(-size // SHARE))
+
+
+def _conf(df: DataFrame) -> Any:
+    return df.sparkSession._jsparkSession.sessionState().conf()
+
+
+def _broadcast(df: DataFrame) -> bool:
+    """Whether the planner takes the frame for small enough to be sent to every task."""
+    most = _conf(df).autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 def _sum(c: Column, kind: T.DataType) -> Column:
     match logical(kind):
         case "int":
@@ -267,9 +293,14 @@ class Compiler:
             self._column(child, theirs, f"{path}.$on")
             if logical(df.schema[mine].dataType) != logical(child.schema[theirs].dataType):
                 _fail(path, f"{mine!r} and {theirs!r} are of different types")
+        keys, name = list(on.values()), self._name()
+        plain = all(df.schema[m].dataType == child.schema[t].dataType and logical(child.schema[t].dataType) != "float" for m, t in on.items())
+        n = _dealt(df) if plain else 0  # keys that the join would cast or normalise are dealt by it alone
+        own = child is df and all(m == t for m, t in on.items())
         if "$filter" in node:
             child = where(child, node["$filter"])
-        keys, name = list(on.values()), self._name()
+        if n and own:  # rows go by these keys on the other side too, so counts before that save nothing, and may be one a row
+            child = child.repartition(n, *(f"`{k}`" for k in keys))
         for k in keys:  # null and NaN keys never match; dropping them first keeps them from one big group
             child = child.where(F.col(f"`{k}`").isNotNull() & ~F.isnan(F.col(f"`{k}`")) if logical(child.schema[k].dataType) == "float" else F.col(f"`{k}`").isNotNull())
         if "$one" in node:
@@ -286,6 +317,10 @@ class Compiler:
                 made = joined.groupBy(*(f"`{k}`" for k in keys)).agg(self._items(item, inner, joined, path, None).alias("_list"))
             packed = made.select(*(F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(keys)), F.col("_list").alias(name))
         cond = reduce(lambda a, b: a & b, [F.col(f"`{m}`") == F.col(f"{name}_{i}") for i, m in enumerate(on)])
+        if n and (own or not _broadcast(packed)):
+            df = df.repartition(n, *(f"`{m}`" for m in on))
+            if not own and n > _conf(df).numShufflePartitions():  # else the join would take the fewer parts of the child's groups
+                packed = packed.repartition(n, *(f"{name}_{i}" for i in range(len(keys))))
         out = df.join(packed, cond, "left").drop(*(f"{name}_{i}" for i in range(len(keys))))
         c = F.col(name)
         return (c if "$one" in node else F.coalesce(c, F.array().cast(packed.schema[name].dataType))), out

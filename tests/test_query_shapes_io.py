@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -136,3 +137,27 @@ def test_xml_items_and_root(spark, people):
         shapes.to_xml(value, "no name")
     with pytest.raises(ValidationError):
         shapes.shape({"a": {"$rows": "name", "$xmlItem": "1"}}, {"people": people}, "people")
+
+
+def test_links_of_large_tables_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    rows = [(i % 50 if i % 7 else None, i % 3, i) for i in range(3000)]
+    spark.createDataFrame(rows, "a long, b int, c long").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(i, i * i) for i in range(0, 50, 2)] * 2, "k long, v long").write.parquet(str(tmp_path / "u"))
+    tables = {n: spark.read.parquet(str(tmp_path / n)) for n in ("t", "u")}
+    monkeypatch.setattr(shapes, "SMALL", 1, raising=False)
+    monkeypatch.setattr(shapes, "SHARE", 1 << 10, raising=False)
+    own = {"$from": "t", "$on": {"a": "a", "b": "b"}, "$filter": {"c": {"gt": 100}}, "$one": {"n": {"$count": True}}}
+    made = shapes.row_shape({"c": "c", "one": own}, tables, "t").select("value.c", "value.one.n")
+    count = Counter((a, b) for a, b, c in rows if a is not None and c > 100)
+    assert {r.c: r.n for r in made.collect()} == {c: count.get((a, b)) for a, b, c in rows}
+    assert made.rdd.getNumPartitions() > 8
+    other = {"$from": "u", "$on": {"a": "k"}, "$rows": "v"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most, parts in (("-1", lambda n: n > 8), (before, lambda n: n <= 8)):  # a table to be broadcast leaves the other where it is
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            made = shapes.row_shape({"c": "c", "v": other}, tables, "t").select("value.c", "value.v")
+            assert {r.c: r.v for r in made.collect()} == {c: [a * a] * 2 if a is not None and a % 2 == 0 else [] for a, _, c in rows}
+            assert parts(made.rdd.getNumPartitions())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
