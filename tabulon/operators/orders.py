@@ -44,29 +44,51 @@ def sort_columns(df: DataFrame, keys: list[Any]) -> list[Column]:
 
 def ordered(df: DataFrame, keys: list[Any], reverse: bool = False) -> DataFrame:
     """Stable: ties in file order where the frame has row ids. ``reverse`` turns ties round too."""
-    columns = sort_columns(df, keys)
-    if ROW_ID in df.columns:
-        columns.append(F.col(ROW_ID).asc())
-    if reverse:
-        columns = [_turned(df, k) for k in [*keys, *([ROW_ID] if ROW_ID in df.columns else [])]]
+    columns = _stable(df, keys, reverse)
     return df.orderBy(*columns) if columns else df
 
 
+def _stable(df: DataFrame, keys: list[Any], reverse: bool) -> list[Column]:
+    if reverse:
+        return [_turned(df, k) for k in [*keys, *([ROW_ID] if ROW_ID in df.columns else [])]]
+    return sort_columns(df, keys) + ([F.col(ROW_ID).asc()] if ROW_ID in df.columns else [])
+
+
 def _turned(df: DataFrame, key: Any) -> Column:
     name, down = (key["column"], key.get("descending", False)) if isinstance(key, dict) else (key.removeprefix("-"), key.startswith("-"))
     return df[name].asc_nulls_first() if down else df[name].desc_nulls_last()
 
 
-def page(df: DataFrame, keys: list[Any], offset: int = 0, limit: int | None = None, reverse: bool = False) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in order; Spark plans a bounded top-k for it."""
-    out = ordered(df, keys, reverse)
-    if offset:
-        out = out.offset(offset)
-    return out if limit is None else out.limit(limit)
+#: Rows that a sorted template query reads at most, which is what a task holds for a page, and those that it gives by default.
+KEPT, PAGE = 100_000, 100
 
 
-#: Rows that a sorted template query reads at most, and those that it gives by default.
-KEPT, PAGE = 100_000, 100
+def cut(df: DataFrame, order: list[Column], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in order.
+
+    Spark plans a bounded top-k for a limit with or without an offset, but takes all rows into one task for an offset
+    alone. So the rows before are then counted for each row id, and those rows left out, as many of an id as were counted,
+    for ids may repeat; beyond ``KEPT`` rows they are told by places from ranges that are written once. Rows without ids
+    can't be told apart, and do go through one task.
+    """
+    if not offset or (limit is not None and offset + limit <= KEPT) or ROW_ID not in df.columns:
+        out = df.orderBy(*order) if order else df
+        out = out.offset(offset) if offset else out
+        return out if limit is None else out.limit(limit)
+    if limit is None and offset <= KEPT:
+        first = df.orderBy(*order).limit(offset).withColumn("_place", F.lit(0))
+    else:
+        first = with_row_ids(df, *order, into="_place").where(F.col("_place") < offset + (limit or 0))
+    told = first.groupBy(F.col(ROW_ID).alias("_told")).agg(F.count_if(F.col("_place") < offset).alias("_from"), F.count(F.lit(1)).alias("_to"))
+    rows = df.join(told, F.col(ROW_ID).eqNullSafe(F.col("_told")), "left" if limit is None else "inner")
+    nth = F.row_number().over(Window.partitionBy(ROW_ID).orderBy(*order))
+    keep = (F.col("_nth") > F.coalesce("_from", F.lit(0))) & (F.lit(limit is None) | (F.col("_nth") <= F.col("_to")))
+    return rows.withColumn("_nth", nth).where(keep).drop("_nth", "_told", "_from", "_to").orderBy(*order)
+
+
+def page(df: DataFrame, keys: list[Any], offset: int = 0, limit: int | None = None, reverse: bool = False) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in order."""
+    return cut(df, _stable(df, keys, reverse), offset, limit)
 
 
 def template_query(df: DataFrame, filter_: Any = None, select: list[str] | None = None, order_by: str | None = None, reverse: bool = False, offset: int = 0, limit: int = PAGE) -> DataFrame:

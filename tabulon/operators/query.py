@@ -8,7 +8,7 @@ the filter language: conditions on nulls are false, and ``~`` of a condition is
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.values import ValidationError, logical
 from tabulon.operators.filters import where
-from tabulon.operators.orders import ROW_ID, with_row_ids
+from tabulon.operators.orders import ROW_ID, cut, with_row_ids
 from tabulon.operators.rows import batches
 from tabulon.sources.scratch import persist
 
@@ -92,8 +92,13 @@ class Group:
 
 
 class Query:
-    def __init__(self, df: DataFrame, order: tuple[tuple[Column, bool], ...] = (), notes: tuple[str, ...] = ()) -> None:
-        self._df, self._order, self._notes = df, order, notes
+    def __init__(self, df: DataFrame, order: tuple[tuple[Column, bool], ...] = (), notes: tuple[str, ...] = (), cut_: tuple[int, int | None] | None = None) -> None:
+        self._whole, self._order, self._notes, self._cut = df, order, notes, cut_
+
+    @cached_property
+    def _df(self) -> DataFrame:
+        """The frame with its skips and takes, which are planned as one when something else follows."""
+        return self._whole if self._cut is None else cut(self._whole, self._sorted(), *self._cut)
 
     @property
     def row(self) -> RowProxy:
@@ -155,17 +160,19 @@ class Query:
 
     def _sorted(self) -> list[Column]:
         out = [c.desc_nulls_last() if down else c.asc_nulls_first() for c, down in self._order]
-        return [*out, F.col(ROW_ID).asc()] if ROW_ID in self._df.columns else out or [F.lit(0)]
+        return [*out, F.col(ROW_ID).asc()] if ROW_ID in self._whole.columns else out or [F.lit(0)]
 
     def frame(self) -> DataFrame:
         """The DataFrame in its current order."""
         return self._df.orderBy(*self._sorted()) if self._order else self._df
 
     def skip(self, n: int) -> Query:
-        return Query(self._df.orderBy(*self._sorted()).offset(n), self._order, (*self._notes, f"skip {n}"))
+        offset, limit = self._cut or (0, None)
+        return Query(self._whole, self._order, (*self._notes, f"skip {n}"), (offset + n, None if limit is None else max(limit - n, 0)))
 
     def take(self, n: int) -> Query:
-        return Query(self._df.orderBy(*self._sorted()).limit(n), self._order, (*self._notes, f"take {n}"))
+        offset, limit = self._cut or (0, None)
+        return Query(self._whole, self._order, (*self._notes, f"take {n}"), (offset, n if limit is None else min(limit, n)))
 
     # -- joins; null keys match null keys
     def _joined(self, inner: Any, outer_key: Callable, inner_key: Callable, how: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import text as tx
 from tabulon.functions.values import ValidationError
-from tabulon.operators import shapes
+from tabulon.operators import orders, shapes
 from tabulon.operators.orders import ROW_ID, with_row_ids
 from tabulon.operators.query import from_
 from tabulon.sources import text_io as io
@@ -161,3 +161,29 @@ def test_links_of_large_tables_are_dealt_by_size(spark, tmp_path, monkeypatch):
             assert parts(made.rdd.getNumPartitions())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kept", [100_000, 7])
+def test_skip_and_take_in_no_single_task(spark, monkeypatch, kept):
+    monkeypatch.setattr(orders, "KEPT", kept)
+    rows = [(i, i * 37 % 11 if i % 6 else None, ["x", "y", "z"][: i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, f"{ROW_ID} long, k int, l array<string>").repartition(5)
+    by = lambda r: (r[1] is not None, r[1] or 0, r[0])
+    ranked = [r[0] for r in sorted(rows, key=by)]
+    ids = lambda q: [r[0] for r in q.frame().select(ROW_ID).collect()]
+    q = from_(df).order_by("k")
+    for n in (0, 9, 70):
+        assert ids(q.skip(n)) == ranked[n:] and ids(q.skip(n).take(4)) == ranked[n : n + 4] and ids(q.take(n).skip(2).skip(1)) == ranked[3:n]
+        assert ids(q.reverse().skip(n)) == ranked[::-1][n:] and ids(from_(df).skip(n)) == list(range(60))[n:]
+        assert [r[0] for r in orders.page(df, ["k"], n).select(ROW_ID).collect()] == ranked[n:]
+    assert q.skip(5).where(lambda r: r.k > 4).reverse().first()["k"] == 10 and q.skip(5).take(9).count() == 9
+    items = sorted(((r[0], x) for r in rows for x in r[2]), key=lambda r: (r[1], r[0]))  # ids repeat
+    many = from_(df).select_many(lambda r: r.l, "x").order_by("x")
+    assert [tuple(r) for r in many.skip(20).frame().select(ROW_ID, "x").collect()] == items[20:]
+    assert [tuple(r) for r in many.skip(20).take(30).frame().select(ROW_ID, "x").collect()] == items[20:50]
+    for one in (q.skip(5).frame(), q.skip(5).take(1).frame(), orders.page(df, ["k"], 5)):
+        assert "SinglePartition" not in _plan(one)
